@@ -56,32 +56,36 @@ RULE_SETS = ("json_schema", "full")
 _DATE_TIME = r"^\d{4}-\d{2}-\d{2}([Tt ]|$)"
 
 
-def inspect_document(document: Column) -> Column:
-    """Kind, text and number of every contract property of a VARIANT document.
+# Every property as a VARIANT: what ``from_json`` extracts for the rules.
+DOCUMENT_SCHEMA = ", ".join(f"{name} VARIANT" for name in CONTRACT)
 
-    ``from_json`` turns a mistyped value into NULL; the VARIANT still knows that
-    the value was there and what it was. ``kind`` is NULL for an absent property
-    and ``VOID`` for a JSON null.
+
+def document_kinds(document: str) -> Column:
+    """Type name of every contract property of a parsed document.
+
+    A typed ``from_json`` turns a mistyped value into NULL; a VARIANT still knows
+    that the value was there and what it was. A kind is NULL for an absent
+    property and ``VOID`` for a JSON null.
     """
-    facts = []
-    for name in CONTRACT:
-        path = f"$.{name}"
-        kind = F.schema_of_variant(F.try_variant_get(document, path, "variant"))
-        facts.append(
-            F.struct(
-                kind.alias("kind"),
-                F.try_variant_get(document, path, "string").alias("text"),
-                F.when(
-                    kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"),
-                    F.try_variant_get(document, path, "double"),
-                ).alias("number"),
-            ).alias(name)
-        )
-    return F.struct(*facts)
-
-
-def violation_codes(facts: str, keys: str, rules: str) -> list[Column]:
-    """Violation codes, in contract order, over ``inspect_document`` output.
+    return F.struct(*[F.schema_of_variant(f"{document}.{name}").alias(name) for name in CONTRACT])
+
+
+def document_values(document: str, kinds: str) -> Column:
+    """Text or number of every contract property; NULL where the kind is another."""
+    values = []
+    for name, field in CONTRACT.items():
+        property_, kind = F.col(f"{document}.{name}"), F.col(f"{kinds}.{name}")
+        if field.kind == "string":
+            value = F.when(kind == "STRING", F.try_variant_get(property_, "$", "string"))
+        else:
+            numeric = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+            value = F.when(numeric, F.try_variant_get(property_, "$", "double"))
+        values.append(value.alias(name))
+    return F.struct(*values)
+
+
+def violation_codes(kinds: str, values: str, keys: str, rules: str) -> list[Column]:
+    """Violation codes, in contract order, over the kinds and values of a document.
 
     ``keys`` names the array of the document's own property names, which is NULL
     for anything that is not a JSON object.
@@ -95,32 +99,27 @@ def violation_codes(facts: str, keys: str, rules: str) -> list[Column]:
     def add(code: str | Column, broken: Column) -> None:
         codes.append(F.when(is_object & broken, F.lit(code) if isinstance(code, str) else code))
 
-    def part(name: str, of: str) -> Column:
-        return F.col(f"{facts}.{name}.{of}")
-
     for name, field in CONTRACT.items():
-        kind, text, number = (part(name, of) for of in ("kind", "text", "number"))
+        kind, value = F.col(f"{kinds}.{name}"), F.col(f"{values}.{name}")
         present = kind.isNotNull() if field.required else kind.isNotNull() & (kind != "VOID")
         if field.required:
             add(f"missing:{name}", kind.isNull())
         if field.kind == "string":
             well_typed = kind == "STRING"
         else:
-            well_typed = F.coalesce(number == F.floor(number), F.lit(False))
+            well_typed = F.coalesce(value == F.rint(value), F.lit(False))
         add(f"type:{name}", present & ~well_typed)
         if field.const is not None:
-            same = text == field.const if field.kind == "string" else number == field.const
-            add(f"const:{name}", present & ~F.coalesce(same, F.lit(False)))
+            add(f"const:{name}", present & ~value.eqNullSafe(F.lit(field.const)))
         if field.enum:
-            add(f"enum:{name}", present & ~F.coalesce(text.isin(*field.enum), F.lit(False)))
+            add(f"enum:{name}", present & ~F.coalesce(value.isin(*field.enum), F.lit(False)))
         if field.minimum is not None:
-            add(
-                f"range:{name}",
-                (number < field.minimum)
-                | (F.lit(False) if field.maximum is None else number > field.maximum),
-            )
+            outside = value < field.minimum
+            if field.maximum is not None:
+                outside = outside | (value > field.maximum)
+            add(f"range:{name}", outside)
         if full and field.non_blank:
-            add(f"blank:{name}", (kind == "STRING") & (F.length(text) == 0))
+            add(f"blank:{name}", value == "")
 
     unknown = F.array_except(F.col(keys), F.array(*[F.lit(n) for n in CONTRACT]))
     add(
@@ -129,14 +128,14 @@ def violation_codes(facts: str, keys: str, rules: str) -> list[Column]:
     )
 
     if full:
-        event_type, when = part("event_type", "text"), part("event_time", "text")
+        event_type, when = F.col(f"{values}.event_type"), F.col(f"{values}.event_time")
         is_time = when.rlike(_DATE_TIME) & F.try_to_timestamp(when).isNotNull()
-        add("format:event_time", (part("event_time", "kind") == "STRING") & ~is_time)
+        add("format:event_time", ~is_time)
         for kind, reason in REASON_OF_EVENT.items():
-            absent = F.coalesce(part(reason, "kind"), F.lit("VOID")) == "VOID"
+            absent = F.coalesce(F.col(f"{kinds}.{reason}"), F.lit("VOID")) == "VOID"
             add(f"requires:{reason}", (event_type == kind) & absent)
-        percent = F.coalesce(part("completion_percent", "kind"), F.lit("VOID"))
+        percent = F.coalesce(F.col(f"{kinds}.completion_percent"), F.lit("VOID"))
         completed = event_type == "completed"
         add("requires:completion_percent", completed & (percent == "VOID"))
-        add("incomplete:completion_percent", completed & (part("completion_percent", "number") != 100))
+        add("incomplete:completion_percent", completed & (F.col(f"{values}.completion_percent") != 100))
     return codes

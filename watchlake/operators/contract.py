@@ -1,30 +1,34 @@
 """Contract validation over raw JSON text."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from watchlake.functions.contract import inspect_document, violation_codes
+from watchlake.functions.barrier import computed_once
+from watchlake.functions.contract import (
+    DOCUMENT_SCHEMA,
+    document_kinds,
+    document_values,
+    violation_codes,
+)
 
 
 def validate_contract(rows: DataFrame, rules: str = "full", text: str = "raw_value") -> DataFrame:
-    """Add ``violations ARRAY<STRING>``; a row is valid when the array is empty.
-
-    Each document is parsed once, and the rules read the extracted facts.
-    """
-    facts = (
-        rows.withColumn("_document", F.try_parse_json(text))
-        .withColumn("_keys", F.json_object_keys(text))
-        .withColumn("_facts", inspect_document(F.col("_document")))
+    """Add ``violations ARRAY<STRING>``; a row is valid when the array is empty."""
+    parsed = computed_once(
+        rows,
+        F.from_json(text, DOCUMENT_SCHEMA).alias("_document"),
+        F.json_object_keys(text).alias("_keys"),
     )
-    # Text that only one of the two parsers accepts is malformed.
-    keys = F.when(F.col("_document").isNotNull(), F.col("_keys"))
-    codes = F.array(*violation_codes("_facts", "_keys", rules))
-    return (
-        facts.withColumn("_keys", keys)
-        .withColumn("violations", F.array_compact(codes))
-        .drop("_document", "_keys", "_facts")
+    typed = computed_once(parsed, document_kinds("_document").alias("_kinds"))
+    facts = computed_once(typed, document_values("_document", "_kinds").alias("_values"))
+    codes = violation_codes("_kinds", "_values", "_keys", rules)
+    # Most documents break no rule, which COALESCE finds out cheaply.
+    listed = F.when(F.coalesce(*codes).isNotNull(), F.array_compact(F.array(*codes)))
+    violations = F.coalesce(listed, F.array().cast("array<string>"))
+    return computed_once(facts, violations.alias("violations")).drop(
+        "_document", "_keys", "_kinds", "_values"
     )
 
 
-def error_text(violations: str = "violations"):
+def error_text(violations: str = "violations") -> Column:
     """The violations as one line, for a dead letter."""
     return F.array_join(violations, "; ")

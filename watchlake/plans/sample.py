@@ -11,6 +11,7 @@ the oracle queries.
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from watchlake.functions.barrier import computed_once
 from watchlake.schemas import EVENT_FIELDS, EVENT_TOPIC, LINEAGE_FIELDS, SILVER_SCHEMA
 
 # Start of the second arrival window when the sample is fed in two batches.
@@ -97,7 +98,7 @@ def _payload() -> Column:
 
 def watch_events(events: DataFrame) -> DataFrame:
     """Well-formed Silver rows."""
-    rows = _tagged(events).withColumn("raw_value", _payload())
+    rows = computed_once(_tagged(events), _payload().alias("raw_value"))
     return rows.withColumn("event_key", F.col("session_id")).select(*SILVER_SCHEMA.names)
 
 
@@ -120,7 +121,8 @@ def broker_records(events: DataFrame) -> DataFrame:
             "resume_reason": F.expr("if(k = 20, NULL, resume_reason)"),
             "abandoned_reason": F.expr("if(k = 20, NULL, abandoned_reason)"),
         }
-    ).withColumn("good", _payload())
+    )
+    rows = computed_once(rows, _payload().alias("good"))
     broken = F.expr(
         """CASE
              WHEN k <= 3 THEN 'not json'
@@ -136,9 +138,9 @@ def broker_records(events: DataFrame) -> DataFrame:
              ELSE good
            END"""
     )
-    return rows.select(
+    return computed_once(rows, F.encode(broken, "UTF-8").alias("value")).select(
         F.encode("event_key", "UTF-8").alias("key"),
-        F.encode(broken, "UTF-8").alias("value"),
+        "value",
         F.lit(EVENT_TOPIC).alias("topic"),
         F.col("part").alias("partition"),
         (F.col("eid") * 4 + F.col("copy")).alias("offset"),
