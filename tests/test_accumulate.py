@@ -1,0 +1,155 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from helpers import event, fold, folded_rows, rows_of, silver
+from watchlake.functions.playback import history_text, time_ordered, without_nulls
+from watchlake.operators.accumulate import accumulate_state
+from watchlake.operators.dedup import latest_events
+from watchlake.operators.history import attach_history, control_events
+from watchlake.operators.snapshot import latest_rows, session_snapshot
+from watchlake.schemas import accumulated_schema
+
+SESSION = [
+    event("1", event_time="2024-01-10T10:00:00", device_type="tv", platform="webos", playback_position=0),
+    event("2", event_type="pause", event_time="2024-01-10T10:00:10", playback_position=10),
+    event("3", event_type="odd", event_time="2024-01-10T10:00:20"),
+    event("4", event_type="resume", event_time="2024-01-10T10:00:30", network_type="wifi"),
+    event("5", event_type="completed", event_time="2024-01-10T10:00:40", completion_percent=100),
+]
+
+
+def random_rows(n, sessions, seed, null_share=0.0):
+    rng = random.Random(seed)
+    kinds = ["play", "pause", "resume", "completed", "abandoned", "odd"]
+    rows = []
+    for i in range(n):
+        session = None if rng.random() < null_share else rng.choice(sessions)
+        time = rng.choice([None, *[f"2024-01-{d:02}T{h:02}:00:00" for d in (9, 10, 11) for h in (1, 2, 3)]])
+        rows.append(
+            event(
+                f"e{i:05}",
+                session,
+                rng.choice(kinds),
+                time,
+                event_version=rng.choice([1, 2, None]),
+                playback_position=rng.choice([None, i]),
+                device_type=rng.choice([None, "tv", "mobile"]),
+                completion_percent=rng.choice([None, 5, 100]),
+            )
+        )
+    return rows
+
+
+def test_running_state_of_one_session(spark):
+    got = folded_rows(accumulate_state(silver(spark, SESSION)))
+    assert [got[str(i)][0] for i in range(1, 6)] == ["PLAYING", "PAUSED", "PAUSED", "PLAYING", "COMPLETED"]
+    # device, platform, network, percent, watched, position
+    assert got["3"][1] == ("tv", "webos", None, None, None, 10)
+    assert got["5"][1] == ("tv", "webos", "wifi", 100, None, 10)
+    assert got["1"][2] == ()
+    assert got["5"][2] == (
+        ("2024-01-10T10:00:10", "pause", "why-2"),
+        ("2024-01-10T10:00:30", "resume", "why-4"),
+    )
+
+
+def test_layout_of_the_accumulated_table(spark):
+    folded = accumulate_state(latest_events(silver(spark, SESSION)))
+    assert [(f.name, f.dataType.simpleString()) for f in folded.schema] == [
+        (f.name, f.dataType.simpleString()) for f in accumulated_schema()
+    ]
+
+
+@pytest.mark.parametrize("null_sessions", ["shared", "own"])
+def test_against_brute_force(spark, null_sessions):
+    rows = random_rows(400, [f"s{i}" for i in range(20)], seed=1, null_share=0.1)
+    got = folded_rows(accumulate_state(silver(spark, rows), null_sessions=null_sessions))
+    assert got == fold(rows, own_null_sessions=null_sessions == "own")
+
+
+@pytest.mark.parametrize("null_sessions", ["shared", "own"])
+@pytest.mark.parametrize("null_share", [0.0, 0.5])
+def test_large_sessions_split_over_ranges_fold_the_same(spark, null_sessions, null_share):
+    """``big`` holds half of the sessions' rows, and NULL may hold half of all rows."""
+    rows = random_rows(600, ["big"] * 10 + [f"s{i}" for i in range(10)], seed=2, null_share=null_share)
+    data = silver(spark, rows)
+    split = accumulate_state(data, null_sessions=null_sessions, hot_rows=40)
+    assert folded_rows(split) == fold(rows, own_null_sessions=null_sessions == "own")
+    whole = accumulate_state(data, null_sessions=null_sessions)
+    assert rows_of(split) == rows_of(whole)
+    assert split.columns == whole.columns
+
+
+def test_one_instant_can_hold_a_large_session(spark):
+    rows = [
+        event(f"e{i:04}", "big", ["play", "pause", "odd"][i % 3], playback_position=i) for i in range(300)
+    ]
+    assert folded_rows(accumulate_state(silver(spark, rows), hot_rows=30)) == fold(rows)
+
+
+def test_split_uses_several_tasks_for_one_session(spark):
+    rows = [event(f"e{i:04}", "big") for i in range(300)]
+    split = accumulate_state(silver(spark, rows), history="count", hot_rows=30)
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_group" in plan and "_range" in plan
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_count_is_the_length_of_the_array(spark):
+    data = silver(spark, random_rows(300, ["a", "b", "c"], seed=3))
+    length = F.size("control_event_history").alias("n")
+    arrays = accumulate_state(data).select("event_id", length)
+    for hot_rows in (10**9, 30):
+        counts = accumulate_state(data, history="count", hot_rows=hot_rows)
+        assert rows_of(counts, "event_id", "control_event_count") == rows_of(arrays, "event_id", "n")
+
+
+def test_arrays_can_be_rebuilt_from_positions(spark):
+    data = silver(spark, random_rows(200, ["a", "b", "c"], seed=4, null_share=0.1))
+    arrays = accumulate_state(data)
+    counts = accumulate_state(data, history="count")
+    rebuilt = attach_history(counts, control_events(counts))
+    text = history_text("control_event_history")
+    assert rows_of(rebuilt, "event_id", text) == rows_of(arrays, "event_id", text)
+
+
+def test_fold_plans_one_shuffle_for_all_windows(spark):
+    plan = accumulate_state(silver(spark, SESSION))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(session_id") == 1
+    assert plan.count("Exchange") == 1
+    assert plan.count("Window ") == 1
+
+
+def test_snapshot_is_the_last_row_of_each_session(spark):
+    rows = [*SESSION, event("9", "s2", "abandoned", "2024-01-11T00:00:00"), event("8", None)]
+    folded = accumulate_state(silver(spark, rows))
+    got = {r.session_id: r for r in session_snapshot(folded).collect()}
+    assert set(got) == {"s1", "s2"}
+    assert (got["s1"].current_state, got["s1"].playback_position_sec) == ("COMPLETED", 10)
+    assert (got["s2"].current_state, got["s2"].playback_position_sec) == ("ABANDONED", 0)
+    assert str(got["s2"].updated_at) == "2024-01-11 00:00:00"
+    plan = latest_rows(folded)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+
+
+def test_history_array_helpers(spark):
+    df = spark.sql(
+        """SELECT array(
+             named_struct('event_time', '2', 'event_type', 'pause', 'reason', 'x'),
+             NULL,
+             named_struct('event_time', NULL, 'event_type', 'pause', 'reason', 'y'),
+             named_struct('event_time', '1', 'event_type', 'resume', 'reason', NULL),
+             named_struct('event_time', '2', 'event_type', 'abandoned', 'reason', 'z')) AS h"""
+    )
+    got = df.select(time_ordered(without_nulls("h")).alias("h")).first().h
+    assert [e.event_type + (e.reason or "-") for e in got] == ["resume-", "pausex", "abandonedz", "pausey"]
+
+
+def test_bad_options_are_refused(spark):
+    data = silver(spark, SESSION)
+    with pytest.raises(ValueError):
+        accumulate_state(data, history="none")
+    with pytest.raises(ValueError):
+        accumulate_state(data, null_sessions="dropped")

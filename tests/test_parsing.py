@@ -1,0 +1,81 @@
+import json
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from helpers import INGESTED, document
+from watchlake.operators.landing import land_records
+from watchlake.operators.parsing import flag_events, invalid_events, parse_events, valid_events
+from watchlake.schemas import BRONZE_SCHEMA, BROKER_SCHEMA, EVENT_FIELDS, SILVER_SCHEMA
+
+# raw value, usable, and a parsed field to look at
+CASES = [
+    (json.dumps(document()), True, ("playback_position", 7)),
+    (json.dumps(document(playback_position="invalid")), True, ("playback_position", None)),
+    (json.dumps(document(playback_position="7")), True, ("playback_position", None)),
+    (json.dumps(document(playback_position=1.5)), True, ("playback_position", None)),
+    (json.dumps(document(playback_position=99999999999)), True, ("playback_position", None)),
+    (json.dumps(document(event_type="Unknown Event")), True, ("event_type", "Unknown Event")),
+    (json.dumps(document(event_id=...)), False, ("user_id", "u1")),
+    (json.dumps(document(event_id="")), True, ("event_id", "")),
+    (json.dumps(document(event_id=5)), True, ("event_id", "5")),
+    (json.dumps(document(user_id=None)), False, ("event_id", "e1")),
+    (json.dumps(document(event_type=None)), False, ("event_id", "e1")),
+    (json.dumps(document(extra=1)), True, ("event_id", "e1")),
+    ("not json", False, ("event_id", None)),
+    ("[1, 2]", False, ("event_id", None)),
+    ("", False, ("event_id", None)),
+    (None, False, ("event_id", None)),
+]
+
+
+def bronze(spark, texts):
+    rows = [("t", 0, i, INGESTED, 0, "k", text, INGESTED, INGESTED.date()) for i, text in enumerate(texts)]
+    return spark.createDataFrame(rows, BRONZE_SCHEMA)
+
+
+@pytest.mark.parametrize("text,usable,field", CASES)
+def test_each_payload_goes_to_one_side(spark, text, usable, field):
+    parsed = parse_events(bronze(spark, [text]))
+    valid, invalid = valid_events(parsed).collect(), invalid_events(parsed).collect()
+    assert (len(valid), len(invalid)) == ((1, 0) if usable else (0, 1))
+    row = (valid + invalid)[0]
+    assert row[field[0]] == field[1]
+    assert row.raw_value == text
+
+
+def test_split_is_a_partition_with_the_silver_layout(spark):
+    parsed = parse_events(bronze(spark, [c[0] for c in CASES]))
+    assert valid_events(parsed).columns == SILVER_SCHEMA.names
+    assert invalid_events(parsed).columns == SILVER_SCHEMA.names
+    assert valid_events(parsed).count() + invalid_events(parsed).count() == len(CASES)
+    flags = {r.valid: r.n for r in flag_events(parsed).groupBy("valid").agg(F.count("*").alias("n")).collect()}
+    assert flags == {True: sum(c[1] for c in CASES), False: sum(not c[1] for c in CASES)}
+
+
+def test_types_are_declared(spark):
+    parsed = dict(parse_events(bronze(spark, ["{}"])).select("json.*").dtypes)
+    assert list(parsed) == list(EVENT_FIELDS)
+    assert parsed["event_time"] == "string" and parsed["event_version"] == "int"
+
+
+def test_json_is_parsed_once_per_row(spark):
+    plan = valid_events(parse_events(bronze(spark, ["{}"])))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json") == plan.count("Generate inline") == 1
+
+
+def test_landing_decodes_and_stamps(spark):
+    records = spark.createDataFrame(
+        [(b"s1", b'{"a": "\xc3\xa9"}', "watch-events", 3, 42, INGESTED, 0), (None, None, "t", 0, 1, INGESTED, 0)],
+        BROKER_SCHEMA,
+    )
+    landed = land_records(records)
+    assert landed.columns == BRONZE_SCHEMA.names
+    by_offset = {r.offset: r for r in landed.collect()}
+    assert by_offset[42].event_key == "s1" and by_offset[42].raw_value == '{"a": "é"}'
+    assert by_offset[42].kafka_timestamp == INGESTED
+    assert by_offset[1].raw_value is None
+    assert all(r.date == r.ingest_ts.date() for r in by_offset.values())
+    fixed = land_records(records, F.lit(datetime(2020, 2, 3, 4)).cast("timestamp")).first()
+    assert str(fixed.date) == "2020-02-03"

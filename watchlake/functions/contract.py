@@ -130,7 +130,7 @@ def violation_codes(kinds: str, values: str, keys: str, rules: str) -> list[Colu
     if full:
         event_type, when = F.col(f"{values}.event_type"), F.col(f"{values}.event_time")
         is_time = when.rlike(_DATE_TIME) & F.try_to_timestamp(when).isNotNull()
-        add("format:event_time", ~is_time)
+        add("format:event_time", when.isNotNull() & ~is_time)
         for kind, reason in REASON_OF_EVENT.items():
             absent = F.coalesce(F.col(f"{kinds}.{reason}"), F.lit("VOID")) == "VOID"
             add(f"requires:{reason}", (event_type == kind) & absent)
