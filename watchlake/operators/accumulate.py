@@ -16,11 +16,13 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from watchlake.functions.ordering import oldest_first
 from watchlake.functions.playback import control_event, is_control_event, playback_state
+from watchlake.operators.sizing import broadcast_if_small
 from watchlake.schemas import CARRIED_FIELDS, HISTORY_TYPES
 from watchlake.session import shared_folder
 
-HOT_ROWS = 2_000_000
-BROADCAST_BYTES = 32 << 20
+# Rows above which a session is split. An array history makes a task's output
+# grow with the square of its session, so it is split much earlier.
+HOT_ROWS = {"array": 20_000, "count": 2_000_000}
 
 STATE_COLUMNS = ["session_state", *(f"current_{name}" for name in CARRIED_FIELDS)]
 HISTORY_COLUMN = {form: name for form, (name, _) in HISTORY_TYPES.items()}
@@ -54,7 +56,7 @@ def accumulate_state(
     *,
     history: str = "array",
     null_sessions: str = "shared",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     sessions_from: DataFrame | None = None,
     time_column: str | None = None,
 ) -> DataFrame:
@@ -65,7 +67,8 @@ def accumulate_state(
     that array, from which ``operators.history`` rebuilds it for any row.
 
     ``null_sessions="shared"`` folds all rows without a session together, ``"own"``
-    folds each by itself. ``sessions_from`` is a cheaper frame to count session
+    folds each by itself. Sessions above ``hot_rows`` (by default as in ``HOT_ROWS``)
+    are split over tasks. ``sessions_from`` is a cheaper frame to count session
     sizes in, if there is one; its counts must not be below those of ``events``.
     """
     if history not in HISTORY_COLUMN:
@@ -74,13 +77,9 @@ def accumulate_state(
         raise ValueError("null_sessions must be 'shared' or 'own'")
     own = null_sessions == "own"
 
-    counted = events if sessions_from is None else sessions_from
-    hot = _hot_sessions(counted, hot_rows, own)
-    size = hot.agg(
-        F.count(F.lit(1)).alias("sessions"),
-        F.sum("rows").alias("rows"),
-        F.sum("bytes").alias("bytes"),
-    ).first()
+    hot_rows = hot_rows or HOT_ROWS[history]
+    hot = _hot_sessions(events if sessions_from is None else sessions_from, hot_rows, own)
+    size = hot.agg(F.count(F.lit(1)).alias("sessions"), F.sum("rows").alias("rows")).first()
 
     keys = [F.col("session_id")]
     if own:
@@ -89,14 +88,10 @@ def accumulate_state(
         return events.withColumns(_folded(running_frame(*keys, time_column=time_column), history))
 
     shared_folder(events.sparkSession)
-    marked = hot.select("session_id").checkpoint()
-    if size.bytes <= BROADCAST_BYTES:
-        marked = F.broadcast(marked)
+    marked = broadcast_if_small(hot.select(_group_key(own=False).alias("_group")).checkpoint())
     grouped = events.withColumn("_group", _group_key(own))
-    marked = marked.select(_group_key(False).alias("_group"))
-    cold = (
-        grouped.join(marked, "_group", "left_anti")
-        .withColumns(_folded(running_frame("_group", time_column=time_column), history))
+    cold = grouped.join(marked, "_group", "left_anti").withColumns(
+        _folded(running_frame("_group", time_column=time_column), history)
     )
     # A range holds about hot_rows / 2, so a hot session spans several.
     ranges = max(2, math.ceil(2 * size.rows / hot_rows))
@@ -115,8 +110,6 @@ def _hot_sessions(events: DataFrame, hot_rows: int, own: bool) -> DataFrame:
         sessions.groupBy("session_id")
         .agg(F.count(F.lit(1)).alias("rows"))
         .where(F.col("rows") > hot_rows)
-        # 64 bytes stand for the row's own overhead in a broadcast relation.
-        .withColumn("bytes", F.coalesce(F.octet_length("session_id"), F.lit(0)) + 64)
     )
 
 

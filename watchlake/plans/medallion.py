@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame
 
-from watchlake.operators.accumulate import HOT_ROWS, accumulate_state
+from watchlake.operators.accumulate import accumulate_state
 from watchlake.operators.contract import error_text, validate_contract
 from watchlake.operators.dedup import latest_events
 from watchlake.operators.envelopes import to_dead_letter
@@ -24,7 +24,7 @@ def accumulated(
     silver_rows: DataFrame,
     history: str = "array",
     null_sessions: str = "shared",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Full recompute of the accumulated table.
 
