@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import event, fold, folded_rows, rows_of, silver
+from watchlake.functions.ordering import event_instant
 from watchlake.functions.playback import history_text, time_ordered, without_nulls
 from watchlake.operators.accumulate import accumulate_state
 from watchlake.operators.dedup import latest_events
@@ -95,6 +96,8 @@ def test_split_uses_several_tasks_for_one_session(spark):
     plan = split._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(_group" in plan and "_range" in plan
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+    (join,) = [line for line in plan.splitlines() if "Join [_group" in line and "_range" in line]
+    assert "SortMergeJoin" in join
 
 
 def test_count_is_the_length_of_the_array(spark):
@@ -115,6 +118,21 @@ def test_arrays_can_be_rebuilt_from_positions(spark):
     assert rows_of(rebuilt, "event_id", text) == rows_of(arrays, "event_id", text)
 
 
+def test_order_by_instant_when_offsets_differ(spark):
+    """10:00+05:00 is before 06:00Z, though its text sorts after."""
+    rows = [
+        event("1", event_time="2024-01-10T10:00:00+05:00", event_type="pause"),
+        event("2", event_time="2024-01-10T06:00:00Z"),
+    ]
+    data = silver(spark, rows).withColumn("event_ts", event_instant())
+    for column, last in ((None, "1"), ("event_ts", "2")):
+        got = folded_rows(accumulate_state(data, time_column=column))
+        assert len(got[last][2]) == 1 and got[last][0] == ("PAUSED" if last == "1" else "PLAYING")
+    copies = silver(spark, [rows[0], rows[1] | {"event_id": "1"}]).withColumn("event_ts", event_instant())
+    assert latest_events(copies).first().event_type == "pause"
+    assert latest_events(copies, time_column="event_ts").first().event_type == "play"
+
+
 def test_fold_plans_one_shuffle_for_all_windows(spark):
     plan = accumulate_state(silver(spark, SESSION))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(session_id") == 1

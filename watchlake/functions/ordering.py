@@ -11,6 +11,11 @@ from pyspark.sql import Column, functions as F
 RECENCY = ["event_time", "event_version", "event_header_reemission", "ingest_ts"]
 
 
+def event_instant(event_time: str = "event_time") -> Column:
+    """The instant of a text event time, offset included; NULL for unreadable text."""
+    return F.try_to_timestamp(F.col(event_time))
+
+
 def _keys(time_column: str | None) -> list[str]:
     return [time_column or RECENCY[0], *RECENCY[1:]]
 

@@ -158,13 +158,15 @@ def _fold_in_ranges(
         past_history = F.coalesce(F.sum(past).over(earlier), F.lit(0))
     carry_in = ends.select("_group", "_range", *carried, past_history.alias("_in_history"))
 
-    own_history = F.col(HISTORY_COLUMN[history])
-    total = F.concat if history == "array" else (lambda past, own: past + own)
+    here = F.col(HISTORY_COLUMN[history])
+    total = F.concat("_in_history", here) if history == "array" else F.col("_in_history") + here
     return (
-        local.join(carry_in, ["_group", "_range"])
+        # The large side is partitioned and sorted for a merge join already, and
+        # carried arrays have no size bound that would permit a broadcast.
+        local.join(carry_in.hint("merge"), ["_group", "_range"])
         .withColumns(
             {name: F.coalesce(F.col(name), F.col(f"_in_{name}")) for name in STATE_COLUMNS}
-            | {HISTORY_COLUMN[history]: total(F.col("_in_history"), own_history)}
+            | {HISTORY_COLUMN[history]: total}
         )
         .drop("_range", "_position", "_in_history", *(f"_in_{name}" for name in STATE_COLUMNS))
     )
