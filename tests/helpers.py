@@ -63,7 +63,6 @@ def rows_of(df, *columns):
     return sorted((tuple(r) for r in picked.collect()), key=repr)
 
 
-
 def recency(row):
     keys = ("event_time", "event_version", "event_header_reemission", "ingest_ts")
     return tuple((row[k] is None, 0 if row[k] is None else row[k]) for k in keys) + (row["event_id"],)
