@@ -4,19 +4,47 @@ Each stage takes (spark, docs, sf_dir) and works on all rows that the one before
 it kept; ``run`` writes each result to the shared folder and rereads it.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from watchlake.llm import simhash
+from watchlake.llm import decontaminate, packing, pii_crf, simhash, toxicity
 from watchlake.llm.common import saved, table
 
 
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score reaches the threshold go."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component stays: the one of the smallest id."""
     return simhash.keep_one_of_each(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is masked in the text; ``n_chars`` follows where there is one."""
+    masked = pii_crf.mask_personal_data(docs)
+    if dict(docs.dtypes).get("n_chars") not in ("bigint", "int"):
+        return masked
+    length = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return masked.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.coalesce(length, "n_chars")))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in sequences of 1024 tokens."""
+    return packing.pack_documents(docs)
+
+
 STAGES = [
+    ("toxicity", toxicity_filter),
     ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("packing", packing_stage),
 ]
 
 # Trained models and packing are beyond SQL; tests compare with brute force.

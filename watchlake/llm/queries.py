@@ -1,15 +1,36 @@
 """Registered queries of the training-data operators, over whole tables."""
 
-from watchlake.llm import simhash
+from watchlake.llm import decontaminate, packing, pii_crf, simhash, toxicity
 from watchlake.llm.common import table
 
 
+def op5_decontaminate(spark, sf_dir):
+    """Each row is a document and a benchmark item it holds."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_pii(spark, sf_dir):
+    return pii_crf.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark, sf_dir):
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark, sf_dir):
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op5_decontaminate": op5_decontaminate,
+    "op6_packing": op6_packing,
+    "op7_pii": op7_pii,
     "op8_simhash": op8_simhash,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
