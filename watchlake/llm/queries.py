@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators, over whole tables."""
 
-from watchlake.llm import decontaminate, packing, pii_crf, simhash, toxicity
+from watchlake.llm import decontaminate, packing, pii_crf, simhash, suffix_dedup, toxicity
 from watchlake.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op8_simhash(spark, sf_dir):
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeated(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark, sf_dir):
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -30,6 +34,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_pii": op7_pii,
     "op8_simhash": op8_simhash,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
