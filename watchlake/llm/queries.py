@@ -1,9 +1,13 @@
 """Registered queries of the training-data operators, over whole tables."""
 
-from watchlake.llm import decontaminate, packing, pii_crf, simhash, suffix_dedup, toxicity
+from watchlake.llm import decontaminate, hmm_lm, packing, pii_crf, simhash, suffix_dedup, toxicity
 from watchlake.llm.common import table
 
 
+def op4_hmm(spark, sf_dir):
+    return hmm_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark, sf_dir):
     """Each row is a document and a benchmark item it holds."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -30,6 +34,7 @@ def op10_toxicity(spark, sf_dir):
 
 
 QUERIES = {
+    "op4_hmm": op4_hmm,
     "op5_decontaminate": op5_decontaminate,
     "op6_packing": op6_packing,
     "op7_pii": op7_pii,
