@@ -1,9 +1,13 @@
 """Registered queries of the training-data operators, over whole tables."""
 
-from watchlake.llm import decontaminate, hmm_lm, packing, pii_crf, simhash, suffix_dedup, toxicity
+from watchlake.llm import decontaminate, hmm_lm, packing, pii_crf, simhash, suffix_dedup, toxicity, url_filter
 from watchlake.llm.common import table
 
 
+def op2_url_filter(spark, sf_dir):
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op4_hmm(spark, sf_dir):
     return hmm_lm.score_documents(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ def op10_toxicity(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_url_filter": op2_url_filter,
     "op4_hmm": op4_hmm,
     "op5_decontaminate": op5_decontaminate,
     "op6_packing": op6_packing,
