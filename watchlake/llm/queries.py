@@ -1,13 +1,39 @@
-"""Registered queries of the training-data operators, over whole tables."""
-
-from watchlake.llm import decontaminate, hmm_lm, packing, pii_crf, simhash, suffix_dedup, toxicity, url_filter
+"""Registered queries of the training-data operators, over whole tables.
+
+Top-k search is compared with SQL. The others learn models, hash in ways that SQL
+does not have, or build on a tokenizer; their tests compare with brute force, direct
+sums, exact round trips or held-out labels.
+"""
+
+from pyspark.sql import functions as F
+
+from watchlake.llm import (
+    decontaminate,
+    hmm_lm,
+    lang_id,
+    packing,
+    pii_crf,
+    simhash,
+    suffix_dedup,
+    topk,
+    toxicity,
+    url_filter,
+)
 from watchlake.llm.common import table
 
 
+def op1_topk(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_url_filter(spark, sf_dir):
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op3_language(spark, sf_dir):
+    return lang_id.identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op4_hmm(spark, sf_dir):
     return hmm_lm.score_documents(table(spark, sf_dir, "documents"))
 
@@ -38,7 +64,9 @@ def op10_toxicity(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_topk": op1_topk,
     "op2_url_filter": op2_url_filter,
+    "op3_language": op3_language,
     "op4_hmm": op4_hmm,
     "op5_decontaminate": op5_decontaminate,
     "op6_packing": op6_packing,
@@ -48,4 +76,22 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_topk": """
+        WITH usable AS (
+            SELECT vec_id, [floor(64 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+                   CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+            FROM usable q JOIN usable c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+        ), ranked AS (
+            SELECT query_id, vec_id, score,
+                   CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+            FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+    """,
+}
