@@ -1,0 +1,112 @@
+"""Packing: an exact round trip of every token, and how full the sequences are."""
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
+from watchlake.llm import packing as P
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+PATH = public_tokenizers.path(P.VOCABULARY)
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    found = Tokenizer.from_file(PATH)
+    found.encode_special_tokens = True
+    return found
+
+
+TEXTS = [
+    "", " ", "a", " a", "a ", "a  b", "a   b", "  a", "a \n b", "a\n\n b", "a \n\n  b  ", "It's  we'll\tI'm", " x   y", "a \x1c b",
+    "é è  ñ 日本 語", "x<|endoftext|>y <|endoftext|> z", "9 99  999", "a\r\n b \x0b c", "tab\t\t tab", "one two, three. " * 50, "  a  b", "w" * 500 + " w",
+]
+
+
+def test_ids_equal_those_of_whole_texts(tokenizer):
+    draw = random.Random(1)
+    texts = TEXTS + ["".join(draw.choice("ab, .\n\té'9") for _ in range(60)) for _ in range(300)]
+    got = P.Encoder(PATH).encode(texts)
+    for text, ids in zip(texts, got):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_chunks_are_the_text():
+    for text in TEXTS:
+        assert "".join(P.chunks(text)) == text
+
+
+def test_a_full_cache_changes_nothing(monkeypatch):
+    encoder = P.Encoder(PATH)
+    expected = encoder.encode(TEXTS)
+    monkeypatch.setattr(P, "_CACHE", 3)
+    assert encoder.encode(TEXTS) == expected
+
+
+def reference_best_fit(sizes, capacity):
+    bins = []
+    for size in sorted(sizes, reverse=True):
+        fits = [b for b in bins if sum(b) + size <= capacity]
+        if fits:
+            max(fits, key=sum).append(size)
+        else:
+            bins.append([size])
+    return sorted(sum(b) for b in bins)
+
+
+def test_best_fit():
+    draw = random.Random(2)
+    for _ in range(30):
+        sizes = [draw.randint(1, 50) for _ in range(draw.randrange(60))]
+        where, fills = P.best_fit(sizes, 50)
+        assert [sum(s for s, w in zip(sizes, where) if w == b) for b in range(len(fills))] == fills
+        assert sorted(fills) == reference_best_fit(sizes, 50)
+
+
+@pytest.mark.parametrize("length", [1, 2, 1023, 1024, 1025, 2048, 3000])
+def test_cut(length):
+    pieces = P.cut(length)
+    assert sum(n for _, n in pieces) == length and all(0 < n <= 1024 for _, n in pieces)
+    assert all(n == 1024 for _, n in pieces[1:]) and [s for s, _ in pieces] == [sum(n for _, n in pieces[:i]) for i in range(len(pieces))]
+
+
+def check(spark, rows, tokenizer, capacity=1024):
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, start int").repartition(6)
+    placed = P.pack_documents(docs, capacity=capacity).collect()
+    expected = []
+    for doc_id, text in rows:
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+        for piece, (start, n) in enumerate(P.cut(len(ids), capacity)):
+            expected.append((doc_id, piece, start, n, zlib.crc32(np.array(ids[start : start + n], "<u4").tobytes())))
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in placed), key=repr) == sorted(expected, key=repr)
+    sequences = {}
+    for r in placed:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in sequences.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))]
+        assert sum(n for _, n in parts) <= capacity
+    return len(sequences), sum(n for *_, n, _ in expected)
+
+
+def test_round_trip(spark, tokenizer):
+    draw = random.Random(3)
+    rows = [(i, "word and more, " * draw.choice([0, 1, 7, 40, 150, 600])) for i in range(150)]
+    rows += [(900, None), (901, ""), (None, "no id"), (None, None), rows[3], (902, "z" * 20_000)]
+    sequences, tokens = check(spark, rows, tokenizer)
+    assert sequences <= 1.05 * tokens / 1024 + 2
+
+
+def test_levels_fill_what_tasks_leave(spark, tokenizer, monkeypatch):
+    monkeypatch.setattr(P, "LOCAL_ITEMS", 4)
+    draw = random.Random(4)
+    rows = [(i, "a b c d " * draw.randint(1, 10)) for i in range(300)]
+    sequences, tokens = check(spark, rows, tokenizer, 100)
+    assert sequences <= 1.1 * tokens / 100 + 1
+
+
+def test_empty_table(spark):
+    assert P.pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -26,8 +26,10 @@ LOCAL_ITEMS = 100_000
 GROUP_BINS = 50_000
 MAX_LEVELS = 12
 VOCABULARY = "byte_bpe_50k.json"
-_CACHE = 600_000
+_CACHE = 450_000
 _LONGEST_CACHED = 48
+# Signs that the tokenizer never joins with a letter before them.
+_SIGNS = ".,;:!?*#$%&"
 
 
 class Encoder:
@@ -35,8 +37,10 @@ class Encoder:
 
     A single space between two signs always starts a new unit of the tokenizer's own
     splitting, so a text is encoded chunk by chunk between such spaces, and chunks
-    seen before come from a bounded cache. Strings of special tokens in a text are
-    ordinary text, as in the vocabulary's own description.
+    seen before come from a bounded cache of two generations. Signs at a chunk's end that
+    follow a letter are units of their own, too, and looked up apart from the word.
+    Strings of special tokens in a text are ordinary text, as in the vocabulary's own
+    description.
     """
 
     def __init__(self, path: str):
@@ -45,26 +49,50 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        self.older: dict[str, bytes] = {}
+
+    def _learn(self, fresh: list[str], known: dict[str, bytes]) -> None:
+        """Adds the ids of chunks that are not known."""
+        unseen, split = set(), []
+        for chunk in fresh:
+            ids = self.older.get(chunk)
+            if ids is not None:
+                known[chunk] = ids
+                continue
+            word = chunk.rstrip(_SIGNS)
+            if word and len(word) < len(chunk) and word[-1].isalpha():
+                split.append((chunk, word, chunk[len(word) :]))
+                unseen.update(split[-1][1:])
+            else:
+                unseen.add(chunk)
+        missing = []
+        for chunk in unseen:
+            if chunk not in known:
+                ids = self.older.get(chunk)
+                if ids is None:
+                    missing.append(chunk)
+                else:
+                    known[chunk] = ids
+        for i in range(0, len(missing), 4096):
+            block = missing[i : i + 4096]
+            for chunk, found in zip(block, self.tokenizer.encode_batch_fast(block, add_special_tokens=False)):
+                known[chunk] = np.array(found.ids, "<u4").tobytes()
+        for chunk, word, signs in split:
+            known[chunk] = known[word] + known[signs]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [chunks(t) for t in texts]
-        fresh = list({c for own in split for c in own if c not in self.known})
-        if len(self.known) + len(fresh) > _CACHE:
-            self.known.clear()
-            fresh = list({c for own in split for c in own})
-        once: dict[str, bytes] = {}
-        for i in range(0, len(fresh), 4096):
-            block = fresh[i : i + 4096]
-            for piece, ids in zip(block, self._encode(block)):
-                (self.known if len(piece) <= _LONGEST_CACHED else once)[piece] = ids
+        if len(self.known) > _CACHE:
+            self.older, self.known = self.known, {}
         known = self.known
-        if not once:
-            return [b"".join(map(known.__getitem__, own)) for own in split]
-        return [b"".join(known[c] if c in known else once[c] for c in own) for own in split]
+        fresh = {c for own in split for c in own if c not in known}
+        long = [c for c in fresh if len(c) > _LONGEST_CACHED]
+        if fresh:
+            self._learn(list(fresh), known)
+        out = [b"".join(map(known.__getitem__, own)) for own in split]
+        for chunk in long:
+            del known[chunk]
+        return out
 
 
 def chunks(text: str) -> list[str]:

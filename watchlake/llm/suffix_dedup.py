@@ -7,8 +7,9 @@ id goes. Three steps keep the work near the size of what repeats:
 2. Each window of ``LENGTH`` bytes has an anchor: the ``ANCHOR`` bytes in it of the
    smallest hash, the first of equals. Equal windows have equal anchors, so only
    windows whose anchor occurs in two documents can repeat; their bytes, one row for
-   each anchor and place, are dealt out by the anchor's hash. Anchors with very many
-   places are dealt over several groups.
+   each anchor and place, are dealt out by the anchor's hash. What repeats within a
+   batch is settled before it is sent, and anchors with very many places are dealt
+   over several groups.
 3. A group sorts its windows, which are suffixes cut at ``LENGTH`` bytes, by
    deep-shallow sorting: multikey steps of eight bytes to a shallow depth part most of
    them, and blind tries over what still agrees order the rest: a group is compared
@@ -21,13 +22,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from watchlake.llm.common import saved
+from watchlake.llm.common import mix64, saved
 from watchlake.operators.sizing import broadcast_if_small
 
 LENGTH = 50
-ANCHOR = 16
+ANCHOR = 24
+HASH_BITS = 48
 GROUP_ROWS = 20_000
 HOT_ROWS = 2_000
 # A fixed 16 MB filter; beyond so many shared anchors an exact join replaces it.
@@ -42,16 +45,14 @@ _BLOCK_BYTES = 1 << 22
 def _anchor_hashes(line: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the ``ANCHOR`` bytes from each place of a padded line on."""
     n = len(line) - ANCHOR + 1
-    low = np.ndarray((n,), "<u8", line, 0, (1,)).astype(np.uint64)
-    high = np.ndarray((n,), "<u8", line, 8, (1,)).astype(np.uint64)
-    low *= np.uint64(0x9E3779B97F4A7C15)
-    low ^= low >> np.uint64(29)
-    low += high
-    low *= np.uint64(0xBF58476D1CE4E5B9)
-    low ^= low >> np.uint64(32)
-    low *= np.uint64(0x94D049BB133111EB)
-    low ^= low >> np.uint64(29)
-    return low
+    total = np.zeros(n, np.uint64)
+    for place in range(0, ANCHOR, 8):
+        total += np.ndarray((n,), "<u8", line, place, (1,))
+        total *= np.uint64(0x9E3779B97F4A7C15)
+        total ^= total >> np.uint64(29)
+    total *= np.uint64(0xBF58476D1CE4E5B9)
+    total ^= total >> np.uint64(32)
+    return total
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -68,11 +69,12 @@ def anchored_windows(line: bytes, edges: np.ndarray):
     """The anchors of all windows of a line of texts.
 
     ``edges`` are the texts' bounds. Returns (text, hash, first, last): the text of
-    an anchor's windows, its hash, and the first and last place a window starts at.
+    an anchor's windows, its hash (the upper ``HASH_BITS``, not negative), and the first
+    and last place a window starts at.
     """
     none = np.zeros(0, np.int64)
     if len(line) < LENGTH:
-        return none, np.zeros(0, np.uint64), none, none
+        return none, none, none, none
     hashes = _anchor_hashes(np.frombuffer(line, np.uint8))
     ranked = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
     at = (_sliding_min(ranked, LENGTH - ANCHOR + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -84,13 +86,13 @@ def anchored_windows(line: bytes, edges: np.ndarray):
     inside = np.cumsum(inside[:-1]) > 0
     places = np.flatnonzero(inside)
     if not len(places):
-        return none, np.zeros(0, np.uint64), none, none
+        return none, none, none, none
     anchors = at[places]
     new = np.concatenate(([True], (anchors[1:] != anchors[:-1]) | (places[1:] != places[:-1] + 1)))
     first = places[new]
     last = np.concatenate((places[np.flatnonzero(new)[1:] - 1], places[-1:]))
     text = np.searchsorted(edges, first, "right") - 1
-    return text, hashes[anchors[new]], first, last
+    return text, (hashes[anchors[new]] >> np.uint64(64 - HASH_BITS)).astype(np.int64), first, last
 
 
 def _blocks(texts: list[bytes]):
@@ -110,44 +112,93 @@ def _bytes_of(column) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in column.to_pylist()]
 
 
-def _all_anchors(texts: DataFrame, with_place: bool) -> DataFrame:
-    """(h, doc) of each anchor and place in ``texts``; with the text and first window if asked."""
-    schema = "h long, doc long" + ", tid long, first long" * with_place
+def _anchor_counts(texts: DataFrame) -> DataFrame:
+    """(h, n) for each anchor of each row of ``texts`` (doc, tid, text): how many places it has there."""
+
+    def run(batches):
+        for batch in batches:
+            for _, line, edges in _blocks(_bytes_of(batch.column(2))):
+                text, h, _, _ = anchored_windows(line, edges)
+                order = np.lexsort((h, text))
+                text, h = text[order], h[order]
+                new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])))) if len(h) else order
+                n = np.diff(np.append(new, len(h)))
+                yield pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(n, pa.int32())], ["h", "n"])
+
+    return texts.mapInArrow(run, "h long, n int")
+
+
+def _anchor_places(texts: DataFrame) -> DataFrame:
+    """(h, doc, tid, first) of each anchor and the first window it has in each place."""
 
     def run(batches):
         for batch in batches:
             docs, tids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for start, line, edges in _blocks(_bytes_of(batch.column(2))):
                 text, h, first, _ = anchored_windows(line, edges)
-                columns = [pa.array(h.view(np.int64)), pa.array(docs[start + text])]
-                if with_place:
-                    columns += [pa.array(tids[start + text]), pa.array(first - edges[text])]
-                yield pa.RecordBatch.from_arrays(columns, ["h", "doc", "tid", "first"][: len(columns)])
+                columns = [h, docs[start + text], tids[start + text], first - edges[text]]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["h", "doc", "tid", "first"])
 
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(run, "h long, doc long, tid long, first long")
 
 
 def _filter_slots(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    return h >> (HASH_BITS - FILTER_BITS)
 
 
-_PIECES = "h long, doc long, tid long, first long, bytes binary"
+_PIECES = "h long, doc long, tid long, first long, end long, bytes binary"
 
 
-def _piece_batches(docs, tids, start, line, edges, found):
-    text, h, first, last = found
-    # Rows carry a window's bytes each; a few thousand at a time keep batches small.
-    for at in range(0, len(h), 8192):
+def _piece_batches(parts: list[tuple]):
+    """Rows for the pieces (h, doc, tid, first, end, bytes arrays) of one batch of texts.
+
+    Of pieces alike only those of the smallest document are sent on. The others are
+    covered for certain; they become runs, which travel without bytes, under negative
+    hashes that no anchor has.
+    """
+    h, doc, tid, first, end = (np.concatenate([p[i] for p in parts]) for i in range(5))
+    pieces = [b for p in parts for b in p[5]]
+    least: dict[bytes, int] = {}
+    for piece, d in zip(pieces, doc.tolist()):
+        if d < least.get(piece, d + 1):
+            least[piece] = d
+    later = doc > np.fromiter(map(least.__getitem__, pieces), np.int64, len(pieces))
+    run_doc, run_tid, run_start, run_end = _joined_runs(doc[later], tid[later], first[later], end[later])
+    sent = np.flatnonzero(~later)
+    columns = [
+        np.concatenate([h[sent], -1 - (mix64(run_doc, 3) >> np.uint64(2)).astype(np.int64)]),
+        np.concatenate([doc[sent], run_doc]),
+        np.concatenate([tid[sent], run_tid]),
+        np.concatenate([first[sent], run_start]),
+        np.concatenate([end[sent], run_end]),
+    ]
+    carried = [pieces[i] for i in sent.tolist()] + [None] * len(run_doc)
+    names = ["h", "doc", "tid", "first", "end", "bytes"]
+    for at in range(0, len(carried), 8192):
         part = slice(at, at + 8192)
-        stops = (last[part] + LENGTH).tolist()
-        columns = [
-            pa.array(h[part].view(np.int64)),
-            pa.array(docs[start + text[part]]),
-            pa.array(tids[start + text[part]]),
-            pa.array(first[part] - edges[text[part]]),
-            pa.array([line[s:e] for s, e in zip(first[part].tolist(), stops)], pa.binary()),
-        ]
-        yield pa.RecordBatch.from_arrays(columns, ["h", "doc", "tid", "first", "bytes"])
+        arrays = [pa.array(c[part]) for c in columns] + [pa.array(carried[part], pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, names)
+
+
+def _joined_runs(doc, tid, start, end):
+    """(doc, tid, start, end) runs with those that touch made one."""
+    if not len(doc):
+        return doc, tid, start, end
+    order = np.lexsort((start, tid, doc))
+    doc, tid, start, end = doc[order], tid[order], start[order], end[order]
+    other = np.concatenate(([False], (doc[1:] != doc[:-1]) | (tid[1:] != tid[:-1])))
+    # The furthest end so far in the same text; texts are set far apart for one running maximum.
+    apart = np.cumsum(other) << 40
+    reached = np.maximum.accumulate(end + apart)
+    new = np.concatenate(([True], start[1:] + apart[1:] > reached[:-1]))
+    last = np.append(np.flatnonzero(new)[1:] - 1, len(doc) - 1)
+    return doc[new], tid[new], start[new], (reached - apart)[last]
+
+
+def _pieces_of(docs, tids, start, line, edges, found):
+    text, h, first, last = found
+    pieces = [line[s:e] for s, e in zip(first.tolist(), (last + LENGTH).tolist())]
+    return h, docs[start + text], tids[start + text], first - edges[text], last + LENGTH - edges[text], pieces
 
 
 def _pieces_by_filter(texts: DataFrame, shared: DataFrame) -> DataFrame:
@@ -158,8 +209,7 @@ def _pieces_by_filter(texts: DataFrame, shared: DataFrame) -> DataFrame:
 
     def gather(batches):
         for batch in batches:
-            h = batch.column(0).to_numpy().view(np.uint64)
-            slots = np.unique(_filter_slots(h))
+            slots = np.unique(_filter_slots(batch.column(0).to_numpy()))
             yield pa.RecordBatch.from_arrays([pa.array(slots >> 3), pa.array(1 << (slots & 7))], ["byte", "bit"])
 
     bits = shared.select("h").mapInArrow(gather, "byte long, bit long").groupBy("byte").agg(F.expr("bit_or(bit)").alias("bits"))
@@ -170,12 +220,14 @@ def _pieces_by_filter(texts: DataFrame, shared: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            docs, tids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            docs, tids, parts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), []
             for start, line, edges in _blocks(_bytes_of(batch.column(2))):
                 found = anchored_windows(line, edges)
                 slots = _filter_slots(found[1])
                 hit = (held.value[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
-                yield from _piece_batches(docs, tids, start, line, edges, [f[hit] for f in found])
+                parts.append(_pieces_of(docs, tids, start, line, edges, [f[hit] for f in found]))
+            if parts:
+                yield from _piece_batches(parts)
 
     return texts.mapInArrow(run, _PIECES)
 
@@ -183,7 +235,7 @@ def _pieces_by_filter(texts: DataFrame, shared: DataFrame) -> DataFrame:
 def _pieces_by_join(texts: DataFrame, shared: DataFrame) -> DataFrame:
     """The bytes around shared anchors, found by an exact join on their hashes."""
     places = (
-        _all_anchors(texts, with_place=True)
+        _anchor_places(texts)
         .join(shared.select("h"), "h", "left_semi")
         .groupBy("doc", "tid")
         .agg(F.collect_list("first").alias("firsts"))
@@ -192,12 +244,14 @@ def _pieces_by_join(texts: DataFrame, shared: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             docs, tids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            firsts = [np.array(f, np.int64) for f in batch.column(3).to_pylist()]
+            firsts, parts = [np.array(f, np.int64) for f in batch.column(3).to_pylist()], []
             for start, line, edges in _blocks(_bytes_of(batch.column(2))):
                 found = anchored_windows(line, edges)
                 wanted = np.concatenate([edges[i] + firsts[start + i] for i in range(len(edges) - 1)])
                 hit = np.isin(found[2], wanted)
-                yield from _piece_batches(docs, tids, start, line, edges, [f[hit] for f in found])
+                parts.append(_pieces_of(docs, tids, start, line, edges, [f[hit] for f in found]))
+            if parts:
+                yield from _piece_batches(parts)
 
     return texts.join(places, ["doc", "tid"]).select("doc", "tid", "text", "firsts").mapInArrow(run, _PIECES)
 
@@ -307,28 +361,19 @@ def later_windows(docs, firsts, pieces: list[bytes]):
     return piece, firsts[piece] + within, doc, later, line, starts
 
 
-def _runs(doc: np.ndarray, tid: np.ndarray, start: np.ndarray):
-    """Windows in a row as (doc, tid, start, end) of what they cover."""
-    if not len(doc):
-        return doc, tid, start, start
-    order = np.lexsort((start, tid, doc))
-    doc, tid, start = doc[order], tid[order], start[order]
-    other = (doc[1:] != doc[:-1]) | (tid[1:] != tid[:-1]) | (start[1:] > start[:-1] + LENGTH)
-    new = np.concatenate(([True], other))
-    last = np.append(np.flatnonzero(new)[1:] - 1, len(doc) - 1)
-    return doc[new], tid[new], start[new], start[last] + LENGTH
-
-
 _FOUND = "doc long, tid long, start long, end long, key binary"
 
 
 def _sort_group(table: pa.Table) -> pa.Table:
     """Covered runs of a group; for anchors that other groups hold too, keepers with their digests."""
     table = table.sort_by([("h", "ascending"), ("doc", "ascending"), ("first", "ascending")])
+    known = table.filter(pc.is_null(table["bytes"]))
+    table = table.filter(pc.is_valid(table["bytes"]))
     docs, tids, firsts = (table[n].to_numpy() for n in ("doc", "tid", "first"))
     spread = table["spread"].to_numpy() > 1
     piece, at, doc, later, line, starts = later_windows(docs, firsts, table["bytes"].to_pylist())
-    run_doc, run_tid, run_start, run_end = _runs(doc[later], tids[piece][later], at[later])
+    runs = zip((doc[later], tids[piece][later], at[later], at[later] + LENGTH), ("doc", "tid", "first", "end"))
+    run_doc, run_tid, run_start, run_end = _joined_runs(*[np.concatenate([r, known[n].to_numpy()]) for r, n in runs])
     keeper = np.flatnonzero(~later & spread[piece])
     text = line.tobytes()
     digests = [hashlib.blake2b(text[s : s + LENGTH], digest_size=16).digest() for s in starts[keeper].tolist()]
@@ -349,10 +394,10 @@ def covered_runs(texts: DataFrame, purpose: str = "suffix", use_filter: bool | N
     ``texts`` has (doc, tid, text), one row for each (doc, tid). Runs may overlap.
     """
     shared = saved(
-        _all_anchors(texts, with_place=False)
+        _anchor_counts(texts)
         .groupBy("h")
-        .agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("n"))
-        .where("low != high")
+        .agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n"))
+        .where("texts > 1")
         .select("h", "n"),
         f"{purpose}-anchors",
     )
@@ -364,7 +409,7 @@ def covered_runs(texts: DataFrame, purpose: str = "suffix", use_filter: bool | N
     hot = shared.where(F.col("n") > HOT_ROWS).select("h", F.ceil(F.col("n") / HOT_ROWS).alias("spread"))
     salt = F.pmod(F.xxhash64("doc", "tid", "first"), F.coalesce("spread", F.lit(1)))
     dealt = pieces.join(broadcast_if_small(hot), "h", "left").select(
-        "h", "doc", "tid", "first", "bytes", F.coalesce("spread", F.lit(1)).alias("spread"), salt.alias("salt")
+        "h", "doc", "tid", "first", "end", "bytes", F.coalesce("spread", F.lit(1)).alias("spread"), salt.alias("salt")
     )
     groups = max(1, -(-size.rows // GROUP_ROWS))
     group = F.pmod(F.xxhash64("h", "salt"), F.lit(groups))
