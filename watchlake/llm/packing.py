@@ -48,67 +48,102 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        # A chunk is named by what follows its space; a text's first one by a tuple.
+        self.known: dict[str | tuple[str], bytes] = {}
+        self.older: dict[str | tuple[str], bytes] = {}
 
-    def _learn(self, fresh: list[str], known: dict[str, bytes]) -> None:
+    def _learn(self, fresh, known: dict) -> None:
         """Adds the ids of chunks that are not known."""
-        unseen, split = set(), []
+        older, unseen, split = self.older, set(), []
         for chunk in fresh:
-            ids = self.older.get(chunk)
+            ids = older.get(chunk)
             if ids is not None:
                 known[chunk] = ids
-                continue
-            word = chunk.rstrip(_SIGNS)
-            if word and len(word) < len(chunk) and word[-1].isalpha():
-                split.append((chunk, word, chunk[len(word) :]))
+            elif type(chunk) is str and chunk[-1:] in _SIGNS and (word := chunk.rstrip(_SIGNS)) and word[-1].isalpha():
+                split.append((chunk, word, (chunk[len(word) :],)))
                 unseen.update(split[-1][1:])
             else:
                 unseen.add(chunk)
         missing = []
         for chunk in unseen:
             if chunk not in known:
-                ids = self.older.get(chunk)
+                ids = older.get(chunk)
                 if ids is None:
                     missing.append(chunk)
                 else:
                     known[chunk] = ids
-        for i in range(0, len(missing), 4096):
-            block = missing[i : i + 4096]
-            for chunk, found in zip(block, self.tokenizer.encode_batch_fast(block, add_special_tokens=False)):
+        in_line, alone = [], []
+        for chunk in missing:
+            (in_line if type(chunk) is str and "\n" not in chunk else alone).append(chunk)
+        for i in range(0, len(in_line), 1024):
+            block = in_line[i : i + 1024]
+            if not self._learn_line(block, known):
+                alone += block
+        for i in range(0, len(alone), 1024):
+            block = alone[i : i + 1024]
+            texts = [c[0] if type(c) is tuple else " " + c for c in block]
+            for chunk, found in zip(block, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
                 known[chunk] = np.array(found.ids, "<u4").tobytes()
         for chunk, word, signs in split:
             known[chunk] = known[word] + known[signs]
 
+    def _learn_line(self, block: list[str], known: dict) -> bool:
+        """Chunks encoded as the lines of one text, whose line ends part their ids.
+
+        A line end before a space is a unit of its own. Should the ends not come out
+        one for each line, nothing is kept.
+        """
+        line = " " + "\n ".join(block)
+        ids = np.array(self.tokenizer.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(ids == self.line_end)
+        if len(ends) != len(block) - 1:
+            return False
+        packed = ids.tobytes()
+        starts = [0, *(4 * ends + 4).tolist()]
+        for chunk, start, end in zip(block, starts, [*(4 * ends).tolist(), len(packed)]):
+            known[chunk] = packed[start:end]
+        return True
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [chunks(t) for t in texts]
         if len(self.known) > _CACHE:
             self.older, self.known = self.known, {}
         known = self.known
-        fresh = {c for own in split for c in own if c not in known}
-        long = [c for c in fresh if len(c) > _LONGEST_CACHED]
+        fresh = set(chain.from_iterable(split)).difference(known)
         if fresh:
-            self._learn(list(fresh), known)
+            self._learn(fresh, known)
         out = [b"".join(map(known.__getitem__, own)) for own in split]
-        for chunk in long:
-            del known[chunk]
+        for chunk in fresh:
+            if len(chunk if type(chunk) is str else chunk[0]) > _LONGEST_CACHED:
+                del known[chunk]
         return out
 
 
-def chunks(text: str) -> list[str]:
-    """A text cut before every single space that stands between two other signs."""
-    parts = text.split(" ")
-    # A part that is blank, or starts or ends in white space, has white space next to
-    # the cut: there the parts go together again.
+def chunks(text: str) -> list:
+    """A text cut at every single space that stands between two other signs.
+
+    The first chunk comes as a tuple; each other one without the space before it.
+    """
+    parts: list = text.split(" ")
+    # As many words as single spaces and line ends part: no white space meets another.
+    if len(text.split()) != text.count(" ") + text.count("\n") + 1:
+        parts = _joined(parts)
+    parts[0] = (parts[0],)
+    return parts
+
+
+def _joined(parts: list[str]) -> list[str]:
+    """Parts put together again where white space stands next to the cut."""
     out = [parts[0]]
-    whole = parts[0] == "" or parts[0][-1:].isspace()
+    whole = parts[0] == "" or parts[0][-1].isspace()
     for part in parts[1:]:
         if whole or part == "" or part[0].isspace():
             out[-1] = f"{out[-1]} {part}"
         else:
-            out.append(" " + part)
+            out.append(part)
         whole = part == "" or part[-1].isspace()
-    return [c for c in out if c]
+    return out
 
 
 def best_fit(sizes: list[int], capacity: int = CAPACITY) -> tuple[list[int], list[int]]:
