@@ -7,14 +7,14 @@ from pyspark.sql import Observation, functions as F
 from helpers import INGESTED, event, rows_of, silver
 from watchlake.operators import envelopes, quality
 from watchlake.operators.parsing import parse_events
-from watchlake.schemas import DEAD_LETTER_SCHEMA, EVENT_FIELDS, SPOOL_SCHEMA
+from watchlake.schemas import DEAD_LETTER_SCHEMA, EVENT_FIELDS, SPOOL_FILE_SCHEMA, SPOOL_SCHEMA
 
 
 def test_messages_are_keyed_and_spell_out_nulls(spark):
     rows = silver(spark, [event("1"), event("2", None)]).select(*EVENT_FIELDS)
     sent = {json.loads(r.value)["event_id"]: r for r in envelopes.to_broker_records(rows).collect()}
     assert (sent["1"].key, sent["2"].key) == ("s1", "unknown")
-    assert list(json.loads(sent["1"].value)) == list(EVENT_FIELDS)
+    assert list(json.loads(sent["1"].value)) == [*envelopes.PAYLOAD_CONSTANTS, *EVENT_FIELDS]
     assert json.loads(sent["1"].value)["platform"] is None
     ids = {bytes(r.headers[0]["value"]).decode() for r in sent.values()}
     assert len(ids) == 2 and all(len(i) == 36 for i in ids)
@@ -37,6 +37,7 @@ def test_dead_letters_nest_their_payload(spark):
         "payload": {"a": 1},
         "error": "bad a",
         "timestamp": 1704888000.0,
+        "payload_text": '{"a": 1}',
     }
     assert sent["unknown"]["payload"] == "not json"
     assert sent["s3"]["payload"] is None
@@ -58,6 +59,22 @@ def test_spool_round_trip(spark, tmp_path):
     assert rows_of(spark.read.schema(SPOOL_SCHEMA).json(path)) == rows_of(spool)
 
 
+ODD_TEXTS = ['{"b":1,"a":1e400}', '{"n":' + "9" * 50 + "}", '"abc"', '{"b" : 1.0, "b":2}', "", " [1]", "é\\n", None]
+
+
+def test_odd_texts_survive_letter_by_letter(spark, tmp_path):
+    """A document that nesting would alter comes back as it was."""
+    rows = spark.createDataFrame([(str(i), t, "why") for i, t in enumerate(ODD_TEXTS)], "event_key STRING, raw_value STRING, why STRING")
+    letters = envelopes.to_dead_letter(rows, "why", at=F.lit(INGESTED))
+    back = envelopes.dead_letters_of(envelopes.dead_letter_messages(letters))
+    assert rows_of(back, *letters.columns) == rows_of(letters, *letters.columns)
+    spool = envelopes.to_spool(rows.selectExpr("'t' AS topic", "event_key AS key", "raw_value AS value"), "down", at=F.lit(INGESTED))
+    path = str(tmp_path / "spool")
+    envelopes.spool_lines(spool).write.text(path)
+    again = envelopes.exact_text(spark.read.schema(SPOOL_FILE_SCHEMA).json(path), "value")
+    assert rows_of(again, *spool.columns) == rows_of(spool, *spool.columns)
+
+
 @pytest.fixture
 def parsed(spark):
     texts = ['{"event_id":"1","user_id":"u","event_type":"play","event_header_reemission":1}', "{}", "x"]
@@ -68,7 +85,7 @@ def parsed(spark):
 
 
 def test_counts(parsed):
-    expected = {"accepted": 3, "delivered": 1, "failed": 2, "retried": 1}
+    expected = {"accepted": 3, "delivered": 1, "failed": 2, "reemitted": 1}
     assert dict(rows_of(quality.quality_counts(parsed), "outcome", "n")) == expected
     watch = Observation("q")
     assert quality.observed(parsed, watch).count() == 3

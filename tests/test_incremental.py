@@ -63,6 +63,32 @@ def test_exact_mode_with_counted_history(spark, tmp_path):
     assert rows_of(stored(spark, path, "count"), *also) == rows_of(expected, *also)
 
 
+def test_another_history_form_is_refused(spark, tmp_path):
+    """The stored histories stay; a rewrite under the other form would drop them."""
+    path = str(tmp_path / "acc")
+    rows = [event("1", event_type="pause"), event("2", "s2", "pause")]
+    for stored_as, other in (("array", "count"), ("count", "array")):
+        path = str(tmp_path / stored_as)
+        refresh_table(silver(spark, rows), path, history=stored_as)
+        before = rows_of(stored(spark, path, stored_as))
+        with pytest.raises(ValueError, match="other columns"):
+            refresh_table(silver(spark, [event("3")]), path, history=other)
+        assert rows_of(stored(spark, path, stored_as)) == before
+        refresh_table(silver(spark, [event("3")]), path, history=stored_as)
+        assert stored(spark, path, stored_as).count() == 3
+
+
+def test_invalid_rows_are_not_folded(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path / "acc")
+    flagged = silver(spark, [event("1"), event("2", user_id=None), event(None)]).withColumn(
+        "valid", F.expr("event_id is not null and user_id is not null")
+    )
+    refresh_table(flagged, path)
+    assert rows_of(stored(spark, path), "event_id") == [("1",)]
+
+
 LATE = [
     event("1", event_time="2024-01-10T10:00:00", device_type="tv"),
     event("3", event_type="odd", event_time="2024-01-10T10:00:20"),

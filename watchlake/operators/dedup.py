@@ -16,7 +16,9 @@ def latest_events(events: DataFrame, time_column: str | None = None) -> DataFram
     another batch, picks the same row.
     """
     content = [name for name in SILVER_SCHEMA.names if name in events.columns]
-    settled = events.withColumn("_content", F.xxhash64(*content))
+    # The hash skips NULLs, so which values are NULL is part of what it reads.
+    gaps = [F.col(name).isNull() for name in content]
+    settled = events.withColumn("_content", F.xxhash64(*content, *gaps))
     order = newest_first("_content", time_column=time_column)
     rank = F.row_number().over(Window.partitionBy("event_id").orderBy(*order))
     return (

@@ -9,6 +9,7 @@ def land_records(records: DataFrame, ingest_ts: Column | None = None) -> DataFra
     ``ingest_ts`` defaults to the processing time, constant within a micro-batch.
     A backfill of archived records passes its own, so a re-run lands the same rows.
     """
+    # Names and order of the landed columns.
     stamped = records.select(
         "topic",
         "partition",

@@ -5,9 +5,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from watchlake.functions.ordering import newest_first
 
 
-def latest_rows(accumulated: DataFrame) -> DataFrame:
+def latest_rows(accumulated: DataFrame, time_column: str | None = None) -> DataFrame:
     """The last accumulated row of every session; rows without a session are left out."""
-    frame = Window.partitionBy("session_id").orderBy(*newest_first(), F.desc("event_id"))
+    order = newest_first(time_column=time_column)
+    frame = Window.partitionBy("session_id").orderBy(*order, F.desc("event_id"))
     return (
         accumulated.where("session_id IS NOT NULL")
         .withColumn("_rank", F.row_number().over(frame))
@@ -16,9 +17,9 @@ def latest_rows(accumulated: DataFrame) -> DataFrame:
     )
 
 
-def session_snapshot(accumulated: DataFrame) -> DataFrame:
+def session_snapshot(accumulated: DataFrame, time_column: str | None = None) -> DataFrame:
     """One row per session: who watched what, in which state, where, since when."""
-    return latest_rows(accumulated).select(
+    return latest_rows(accumulated, time_column).select(
         "session_id",
         "user_id",
         "content_id",

@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from watchlake.functions.contract import CONTRACT
+from watchlake.functions.ordering import event_instant
 from watchlake.functions.playback import history_text
 from watchlake.operators import envelopes, lookback, quality
 from watchlake.operators.accumulate import STATE_COLUMNS, accumulate_state
@@ -16,7 +17,7 @@ from watchlake.operators.contract import validate_contract
 from watchlake.operators.dedup import latest_events
 from watchlake.operators.history import attach_history, control_events
 from watchlake.operators.landing import land_records
-from watchlake.operators.parsing import parse_events
+from watchlake.operators.parsing import flag_events, parse_events
 from watchlake.operators.snapshot import latest_rows, session_snapshot
 from watchlake.plans import medallion, sample
 from watchlake.plans.incremental import EXACT, PARITY, RefreshMode, refresh_table
@@ -24,11 +25,13 @@ from watchlake.schemas import (
     BRONZE_SCHEMA,
     BROKER_SCHEMA,
     CARRIED_FIELDS,
+    DEAD_LETTER_SCHEMA,
     DEAD_LETTER_TOPIC,
     EVENT_FIELDS,
     EVENT_TOPIC,
     FLAGGED_SCHEMA,
     REASON_OF_EVENT,
+    REPLAYED_SCHEMA,
     SILVER_SCHEMA,
     STATE_OF_EVENT,
     accumulated_schema,
@@ -173,7 +176,8 @@ def accumulated_stream(spark: SparkSession, folder: str) -> DataFrame:
     rows = _silver(spark, folder)
     edges = ["0001-01-01", "2024-01-09", "2024-01-17", "2024-01-25", "9999-01-01"]
     for low, high in zip(edges, edges[1:]):
-        week = rows.where((F.col("ingest_ts") >= low) & (F.col("ingest_ts") < high))
+        inside = (F.col("ingest_ts") >= low) & (F.col("ingest_ts") < high)
+        week = rows.where(inside | F.col("ingest_ts").isNull() if low == edges[0] else inside)
         week.write.mode("append").parquet(f"{work}/silver")
         jobs.start_accumulated(
             stream_table(spark, f"{work}/silver", SILVER_SCHEMA),
@@ -185,6 +189,40 @@ def accumulated_stream(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def pipeline_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The broken broker sample through landing, parsing and folding, one run per part.
+
+    The second part is delivered twice, and every job resumes from its checkpoint.
+    Landing times are the broker's, so that every run lands the same rows.
+    """
+    work = new_work_folder(spark, "pipeline")
+    records = sample.broker_records(_events(spark, folder))
+    early = F.coalesce(F.col("timestamp") < sample.CUTOFF, F.lit(False))
+    for part in (early, ~early, ~early):
+        records.where(part).select(*BROKER_SCHEMA.names).write.mode("append").parquet(f"{work}/broker")
+        jobs.start_bronze(
+            stream_table(spark, f"{work}/broker", BROKER_SCHEMA),
+            f"{work}/bronze",
+            f"{work}/checkpoint-bronze",
+            trigger=RUN_ONCE,
+            ingest_ts=F.col("timestamp"),
+        ).awaitTermination()
+        jobs.start_silver(
+            stream_table(spark, f"{work}/bronze", BRONZE_SCHEMA),
+            f"{work}/silver",
+            f"{work}/checkpoint-silver",
+            trigger=RUN_ONCE,
+        ).awaitTermination()
+        jobs.start_accumulated(
+            stream_table(spark, f"{work}/silver", FLAGGED_SCHEMA),
+            f"{work}/accumulated",
+            f"{work}/checkpoint-accumulated",
+        ).awaitTermination()
+    return _state_view(
+        read_table(spark, f"{work}/accumulated", accumulated_schema()), _history_text()
+    )
+
+
 # --- dedup, lookback, sessions ----------------------------------------------
 
 
@@ -205,9 +243,8 @@ def batch_date_range(spark: SparkSession, folder: str) -> DataFrame:
 
 def _two_batches(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     rows = _silver(spark, folder)
-    return rows.where(F.col("ingest_ts") < sample.CUTOFF), rows.where(
-        F.col("ingest_ts") >= sample.CUTOFF
-    )
+    early = F.coalesce(F.col("ingest_ts") < sample.CUTOFF, F.lit(False))
+    return rows.where(early), rows.where(~early)
 
 
 def _looked_back(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -249,6 +286,20 @@ def accumulated_skewed(spark: SparkSession, folder: str) -> DataFrame:
     return _state_view(folded, F.col("control_event_count"))
 
 
+def accumulated_by_instant(spark: SparkSession, folder: str) -> DataFrame:
+    """The fold in the order of instants, a third of the times being written at +05:00.
+
+    Such a time's text sorts later than it is; its instant does not.
+    """
+    shifted = F.expr(f"concat(date_format(to_timestamp(event_time) + interval 5 hours, \"{sample.TEXT}\"), '+05:00')")
+    moved = F.expr("cast(event_id as bigint) % 3 = 0")
+    rows = _silver(spark, folder).withColumn("event_time", F.when(moved, shifted).otherwise(F.concat("event_time", F.lit("Z"))))
+    folded = medallion.accumulated(
+        rows.withColumn("event_ts", event_instant()), history="count", time_column="event_ts"
+    )
+    return folded.select("event_id", *STATE_COLUMNS, "control_event_count")
+
+
 def control_history(spark: SparkSession, folder: str) -> DataFrame:
     return medallion.accumulated(_silver(spark, folder)).select(
         "event_id", F.size("control_event_history").alias("n_control"), _history_text()
@@ -322,32 +373,80 @@ def dead_letter_messages(spark: SparkSession, folder: str) -> DataFrame:
         F.get_json_object("value", "$.original_topic").alias("original_topic"),
         F.get_json_object("value", "$.error").alias("error"),
         F.get_json_object("value", "$.payload.user_id").alias("payload_user"),
+        F.get_json_object("value", "$.payload_text").alias("payload_text"),
     )
 
 
+def dead_letter_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Bronze through the contract stream."""
+    work = new_work_folder(spark, "dead-letters")
+    _write_bronze_files(spark, folder, f"{work}/bronze")
+    jobs.start_dead_letters(
+        stream_table(spark, f"{work}/bronze", BRONZE_SCHEMA),
+        f"{work}/letters",
+        f"{work}/checkpoint",
+        at=F.col("kafka_timestamp"),
+        trigger=RUN_ONCE,
+    ).awaitTermination()
+    return read_table(spark, f"{work}/letters", DEAD_LETTER_SCHEMA)
+
+
+def dead_letter_replay(spark: SparkSession, folder: str) -> DataFrame:
+    """Dead letters as messages and back, one kind of damage repaired, checked again."""
+    letters = medallion.dead_letters(_bronze(spark, folder), at=F.col("kafka_timestamp"))
+    back = envelopes.dead_letters_of(envelopes.dead_letter_messages(letters))
+    rows = envelopes.dead_letters_as_bronze(back)
+    checked = validate_contract(rows.withColumn("raw_value", F.replace("raw_value", F.lit(_DAMAGED), F.lit(_REPAIRED))))
+    return checked.select("event_key", "raw_value", F.array_join("violations", ";").alias("violations"))
+
+
+_DAMAGED, _REPAIRED = '"playback_position":"invalid"', '"playback_position":null'
+
+
 def publish_records(spark: SparkSession, folder: str) -> DataFrame:
-    events = latest_events(_silver(spark, folder)).select(*EVENT_FIELDS)
-    sent = envelopes.to_broker_records(events)
+    sent = envelopes.to_broker_records(latest_events(_silver(spark, folder)))
     return sent.select("topic", "key", "value", F.size("headers").alias("n_headers"))
 
 
+def publish_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Published events, landed, checked and parsed again."""
+    sent = envelopes.to_broker_records(latest_events(_silver(spark, folder)))
+    no_place = {"partition": F.lit(0), "offset": F.lit(0).cast("long"), "timestampType": F.lit(0)}
+    landed = land_records(sent.withColumns(no_place).withColumn("timestamp", F.current_timestamp()))
+    parsed = parse_events(validate_contract(landed))
+    return parsed.select("json.*", "event_key", F.array_join("violations", ";").alias("violations"))
+
+
 def replay(spark: SparkSession, folder: str) -> DataFrame:
     """All broker messages spooled as JSON lines, then replayed as a stream."""
     work = new_work_folder(spark, "replay")
-    messages = _bronze(spark, folder).selectExpr("topic", "event_key AS key", "raw_value AS value")
-    spool = envelopes.to_spool(messages, "broker_unavailable")
+    spool = _spooled(spark, folder)
     envelopes.spool_lines(spool).write.text(f"{work}/spool")
     jobs.start_replay(
         jobs.stream_spool(spark, f"{work}/spool"), f"{work}/replayed", f"{work}/checkpoint"
     ).awaitTermination()
-    return read_table(spark, f"{work}/replayed", FLAGGED_SCHEMA).select(
-        *EVENT_FIELDS, "event_key", F.col("valid").cast("int").alias("is_valid")
+    return read_table(spark, f"{work}/replayed", REPLAYED_SCHEMA).select(
+        *EVENT_FIELDS,
+        "event_key",
+        "raw_value",
+        F.date_format("kafka_timestamp", _SECONDS).alias("spooled_at"),
+        "violations",
+        F.col("valid").cast("int").alias("is_valid"),
     )
 
 
+def _spooled(spark: SparkSession, folder: str) -> DataFrame:
+    """All broker messages as spool records of the time they were sent."""
+    sent = _bronze(spark, folder).selectExpr("topic", "event_key AS key", "raw_value AS value", "kafka_timestamp")
+    return envelopes.to_spool(sent, "broker_unavailable", at=F.col("kafka_timestamp"))
+
+
 def quality_counts(spark: SparkSession, folder: str) -> DataFrame:
     checked = validate_contract(_bronze(spark, folder))
-    return quality.quality_counts(parse_events(checked), "violations")
+    spool = _spooled(spark, folder)
+    replayed = flag_events(parse_events(envelopes.spool_as_bronze(spool)))
+    counted = quality.quality_counts(parse_events(checked), "violations")
+    return counted.unionByName(quality.recovery_counts(spool, replayed))
 
 
 def ingest_lag(spark: SparkSession, folder: str) -> DataFrame:
@@ -378,14 +477,19 @@ QUERIES: dict[str, Query] = {
     "merge_upsert": merge_upsert,
     "merge_upsert_parity": merge_upsert_parity,
     "accumulated_stream": accumulated_stream,
+    "pipeline_stream": pipeline_stream,
+    "accumulate_by_instant": accumulated_by_instant,
     "session_snapshot": snapshot,
     "snapshot_history": snapshot_history,
     "contract_violations": contract_violations,
     "contract_violations_json_schema": contract_violations_json_schema,
     "dead_letter": dead_letter,
     "dead_letter_messages": dead_letter_messages,
+    "dead_letter_stream": dead_letter_stream,
+    "dead_letter_replay": dead_letter_replay,
     "replay": replay,
     "publish_records": publish_records,
+    "publish_roundtrip": publish_roundtrip,
     "quality_counts": quality_counts,
     "ingest_lag": ingest_lag,
     "lag_percentiles": lag_percentiles,
@@ -410,7 +514,7 @@ def _latest(name: str, source: str) -> str:
 )"""
 
 
-def _folded(name: str, source: str, history: bool = True) -> str:
+def _folded(name: str, source: str, history: bool = True, alone: bool = False) -> str:
     order = ", ".join(f"{key} asc nulls last" for key in [*_ORDER, "event_id"])
     state = " ".join(f"when '{kind}' then '{value}'" for kind, value in STATE_OF_EVENT.items())
     reason = " ".join(f"when '{kind}' then {column}" for kind, column in REASON_OF_EVENT.items())
@@ -423,6 +527,8 @@ def _folded(name: str, source: str, history: bool = True) -> str:
         f"coalesce(array_to_string(list({entry}) "
         f"filter (where event_type in ({kinds})) over w, ';'), '') as history"
     )
+    # Rows without a session are folded together, or each by itself.
+    alone_key = ", case when session_id is null then event_id end" if alone else ""
     return f"""{name} as (
   select {", ".join(SILVER_SCHEMA.names)}, event_date,
     last_value(case event_type {state} end ignore nulls) over w as session_state,
@@ -430,7 +536,7 @@ def _folded(name: str, source: str, history: bool = True) -> str:
     count(*) filter (where event_type in ({kinds})) over w as control_event_count
     {", " + texts if history else ""}
   from {source}
-  window w as (partition by session_id order by {order}
+  window w as (partition by session_id{alone_key} order by {order}
                rows between unbounded preceding and current row)
 )"""
 
@@ -481,8 +587,8 @@ _BRONZE_LIST = (
 _VIEW_LIST = ", ".join([*_IDENTITY, "cast(event_date as varchar) as event_date", "session_state"])
 
 
-def _contract(rules: str) -> str:
-    """``checked``: Bronze with ``codes``, one CASE per rule in contract order."""
+def _contract(rules: str, source: str = "bronze") -> str:
+    """``checked``: the source with ``codes``, one CASE per rule in contract order."""
     full = rules == "full"
     cases = ["case when doc is null then 'malformed' end"]
 
@@ -542,7 +648,7 @@ def _contract(rules: str) -> str:
     return f"""objects as (
   select *, case when json_valid(raw_value) and json_type(raw_value) = 'OBJECT'
                  then raw_value end as doc
-  from bronze
+  from {source}
 ),
 checked as (
   select *, list_filter([{codes}], lambda c: c is not null) as codes from objects
@@ -556,7 +662,7 @@ def _codes(rules: str) -> str:
 
 
 def _quality() -> str:
-    retried = "try_cast(json_extract(doc, '$.event_header_reemission') as integer) > 0"
+    again = "try_cast(json_extract(doc, '$.event_header_reemission') as integer) > 0"
     usable = " and ".join(
         f"json_extract_string(doc, '$.{name}') is not null"
         for name in ("event_id", "user_id", "event_type")
@@ -565,8 +671,10 @@ def _quality() -> str:
         "accepted": "true",
         "delivered": f"coalesce({usable}, false)",
         "failed": f"not coalesce({usable}, false)",
-        "retried": retried,
+        "reemitted": again,
         "dead_lettered": "len(codes) > 0",
+        "spooled": "true",
+        "replayed": f"coalesce({usable}, false)",
     }
     rows = "\nunion all\n".join(
         f"select '{name}' as outcome, count(*) filter (where {test}) as n from checked"
@@ -596,7 +704,7 @@ def _percentiles() -> str:
     return _with(sample.sql_bronze(), f"lags as (select {lag} as lag from bronze)") + rows
 
 
-_EVENT_JSON = "{" + ", ".join(f"'{name}': {name}" for name in EVENT_FIELDS) + "}"
+_VIOLATIONS = "array_to_string(codes, ';') as violations"
 _EXACT_STATE = _with(*_FOLDED_SAMPLE) + f"select {_state_list('history')} from folded"
 _BOTH_HALVES = (
     _with(sample.sql_silver())
@@ -654,6 +762,18 @@ ORACLES: dict[str, str] = {
     "where event_id not in (select event_id from upserts)\nunion all\n"
     f"select {_state_list('history')} from upserts",
     "accumulated_stream": _EXACT_STATE,
+    "pipeline_stream": _with(
+        sample.sql_silver(),
+        "usable as (select * replace (kafka_timestamp as ingest_ts) from parsed where valid)",
+        _latest("latest", "usable"),
+        _folded("folded", "latest", alone=True),
+    )
+    + f"select {_state_list('history')} from folded",
+    # Instants are those of the sample's own times, whichever way they are written.
+    "accumulate_by_instant": _with(
+        sample.sql_watch_events(), _latest("latest", "watch"), _folded("folded", "latest", history=False)
+    )
+    + f"select event_id, {', '.join(STATE_COLUMNS)}, control_event_count from folded",
     "session_snapshot": _with(*_FOLDED_SAMPLE, _LAST_OF_SESSION)
     + "select session_id, user_id, content_id, session_state as current_state, "
     "coalesce(current_playback_position, 0) as playback_position_sec, "
@@ -667,13 +787,35 @@ ORACLES: dict[str, str] = {
     "array_to_string(codes, '; ') as error from checked where len(codes) > 0",
     "dead_letter_messages": _with(sample.sql_bronze(), _contract("full"))
     + f"select '{DEAD_LETTER_TOPIC}' as topic, event_key as key, '{EVENT_TOPIC}' as original_topic, "
-    "array_to_string(codes, '; ') as error, json_extract_string(doc, '$.user_id') as payload_user "
+    "array_to_string(codes, '; ') as error, json_extract_string(doc, '$.user_id') as payload_user, "
+    "raw_value as payload_text from checked where len(codes) > 0",
+    "dead_letter_stream": _with(sample.sql_bronze(), _contract("full"))
+    + f"select '{EVENT_TOPIC}' as original_topic, event_key as key, raw_value as payload, "
+    "array_to_string(codes, '; ') as error, epoch_us(kafka_timestamp) / 1e6 as timestamp "
     "from checked where len(codes) > 0",
-    "replay": _with(sample.sql_silver())
-    + f"select {', '.join(EVENT_FIELDS)}, event_key, cast(valid as integer) as is_valid from parsed",
+    "dead_letter_replay": _with(
+        sample.sql_bronze(),
+        _contract("full").replace("objects as", "first_objects as").replace("checked as", "rejected as").replace("from objects", "from first_objects"),
+        f"repaired as (select event_key, replace(raw_value, '{_DAMAGED}', '{_REPAIRED}') as raw_value "
+        "from rejected where len(codes) > 0)",
+        _contract("full", "repaired"),
+    )
+    + f"select event_key, raw_value, {_VIOLATIONS} from checked",
+    "replay": _with(
+        sample.sql_silver(),
+        _contract("full"),
+        # Copies of a record are alike in all that is selected here.
+        f"rules as (select raw_value as text, any_value(array_to_string(codes, '; ')) as violations "
+        "from checked group by raw_value)",
+    )
+    + f"select {', '.join(EVENT_FIELDS)}, event_key, raw_value, "
+    "strftime(kafka_timestamp, '%Y-%m-%d %H:%M:%S') as spooled_at, violations, "
+    "cast(valid as integer) as is_valid from parsed join rules on raw_value is not distinct from text",
     "publish_records": _with(sample.sql_watch_events(), _latest("latest", "watch"))
     + f"select '{EVENT_TOPIC}' as topic, session_id as key, "
-    f"cast(to_json({_EVENT_JSON}) as varchar) as value, 1 as n_headers from latest",
+    f"{sample.sql_payload()} as value, 1 as n_headers from latest",
+    "publish_roundtrip": _with(sample.sql_watch_events(), _latest("latest", "watch"))
+    + f"select {', '.join(EVENT_FIELDS)}, session_id as event_key, '' as violations from latest",
     "quality_counts": _quality(),
     "ingest_lag": _lag(),
     "lag_percentiles": _percentiles(),

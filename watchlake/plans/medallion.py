@@ -25,17 +25,20 @@ def accumulated(
     history: str = "array",
     null_sessions: str = "shared",
     hot_rows: int | None = None,
+    time_column: str | None = None,
 ) -> DataFrame:
     """Full recompute of the accumulated table.
 
-    Session sizes are counted before dedup: an upper bound, from one column.
+    ``time_column`` names a timestamp to order events by in place of their text time,
+    for feeds that mix offsets. Session sizes are counted before dedup: an upper bound, from one column.
     """
     return accumulate_state(
-        latest_events(silver_rows),
+        latest_events(silver_rows, time_column),
         history=history,
         null_sessions=null_sessions,
         hot_rows=hot_rows,
         sessions_from=silver_rows,
+        time_column=time_column,
     )
 
 

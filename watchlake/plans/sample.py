@@ -12,12 +12,13 @@ the oracle queries.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from watchlake.functions.barrier import computed_once
+from watchlake.operators.envelopes import event_payload
 from watchlake.schemas import EVENT_FIELDS, EVENT_TOPIC, LINEAGE_FIELDS, SILVER_SCHEMA
 
 # Start of the second arrival window when the sample is fed in two batches.
 CUTOFF = "2024-01-16 00:00:00"
 
-_TEXT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+TEXT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
 def _tagged(events: DataFrame) -> DataFrame:
@@ -59,7 +60,7 @@ def _tagged(events: DataFrame) -> DataFrame:
         "concat('user_', uid) AS user_id",
         "concat('s', uid, '_', cast(floor((day(ts) - 1) / 7) AS int)) AS session_id",
         "concat('c', cast(floor(k / 9) AS int)) AS content_id",
-        f'date_format(ts, "{_TEXT}") AS event_time',
+        f'date_format(ts, "{TEXT}") AS event_time',
         "version AS event_version",
         "again AS event_header_reemission",
         "position AS playback_position",
@@ -85,20 +86,9 @@ def _tagged(events: DataFrame) -> DataFrame:
     )
 
 
-def _payload() -> Column:
-    return F.to_json(
-        F.struct(
-            F.lit("watch_event").alias("schema_name"),
-            F.lit(1).alias("schema_version"),
-            *EVENT_FIELDS,
-        ),
-        {"ignoreNullFields": "false"},
-    )
-
-
 def watch_events(events: DataFrame) -> DataFrame:
     """Well-formed Silver rows."""
-    rows = computed_once(_tagged(events), _payload().alias("raw_value"))
+    rows = computed_once(_tagged(events), event_payload().alias("raw_value"))
     return rows.withColumn("event_key", F.col("session_id")).select(*SILVER_SCHEMA.names)
 
 
@@ -111,7 +101,7 @@ def broker_records(events: DataFrame) -> DataFrame:
     rows = rows.withColumns(
         {
             "event_type": F.expr("if(k BETWEEN 8 AND 10, 'Unknown Event', event_type)"),
-            "session_id": F.expr("if(k = 16, '', session_id)"),
+            "session_id": F.expr("CASE k WHEN 16 THEN '' WHEN 26 THEN NULL ELSE session_id END"),
             "event_time": F.expr("if(k = 19, 'yesterday', event_time)"),
             "event_version": F.expr("if(k = 17, 0, event_version)"),
             "completion_percent": F.expr(
@@ -122,7 +112,7 @@ def broker_records(events: DataFrame) -> DataFrame:
             "abandoned_reason": F.expr("if(k = 20, NULL, abandoned_reason)"),
         }
     )
-    rows = computed_once(rows, _payload().alias("good"))
+    rows = computed_once(rows, event_payload().alias("good"))
     broken = F.expr(
         """CASE
              WHEN k <= 3 THEN 'not json'
@@ -207,7 +197,8 @@ tagged as (
 )"""
 
 
-def _sql_payload() -> str:
+def sql_payload() -> str:
+    """The canonical payload of a row with all event fields."""
     fields = ", ".join(f"'{name}': {name}" for name in EVENT_FIELDS)
     return (
         "cast(to_json({'schema_name': 'watch_event', 'schema_version': 1, " + fields + "}) as varchar)"
@@ -217,14 +208,14 @@ def _sql_payload() -> str:
 def sql_watch_events() -> str:
     """WITH list ending in ``watch``, the counterpart of ``watch_events``."""
     names = ", ".join([*EVENT_FIELDS, "session_id as event_key", "kafka_timestamp", "ingest_ts"])
-    return f"{_SQL_TAGGED},\nwatch as (select {names}, {_sql_payload()} as raw_value from tagged)"
+    return f"{_SQL_TAGGED},\nwatch as (select {names}, {sql_payload()} as raw_value from tagged)"
 
 
 def sql_bronze() -> str:
     """WITH list ending in ``bronze``, the landed counterpart of ``broker_records``."""
     changed = {
         "event_type": "case when k between 8 and 10 then 'Unknown Event' else event_type end",
-        "session_id": "case when k = 16 then '' else session_id end",
+        "session_id": "case k when 16 then '' when 26 then null else session_id end",
         "event_time": "case when k = 19 then 'yesterday' else event_time end",
         "event_version": "case when k = 17 then 0 else event_version end",
         "completion_percent": "case k when 15 then 140 when 21 then null when 22 then 99"
@@ -238,7 +229,7 @@ def sql_bronze() -> str:
 odd as (
   select k, copy, eid, part, session_id as event_key, kafka_timestamp, ingest_ts, {fields} from tagged
 ),
-good as (select *, {_sql_payload()} as good from odd),
+good as (select *, {sql_payload()} as good from odd),
 bronze as (
   select '{EVENT_TOPIC}' as topic, part as "partition", eid * 4 + copy as "offset",
     kafka_timestamp, 0 as "timestampType", event_key,

@@ -4,7 +4,7 @@ Nothing is inferred from data. The parsed payload has one declaration,
 ``EVENT_FIELDS``; every other layout is written in terms of it.
 """
 
-from pyspark.sql.types import ArrayType, DataType, LongType, StructType
+from pyspark.sql.types import ArrayType, DataType, LongType, StringType, StructField, StructType
 
 # Fields of the JSON payload that are parsed, with their Spark types.
 EVENT_FIELDS = {
@@ -58,7 +58,7 @@ EVENT_TOPIC = "watch-events"
 DEAD_LETTER_TOPIC = "watch-events-dlq"
 MISSING_KEY = "unknown"
 
-# Columns kept beside the parsed fields so a row can be traced to its record.
+# Columns kept beside the parsed fields so a row can be traced to its record.
 LINEAGE_FIELDS = {
     "event_key": "string",
     "kafka_timestamp": "timestamp",
@@ -76,6 +76,7 @@ def _struct(fields: dict[str, str | DataType]) -> StructType:
 
 EVENT_SCHEMA = _struct(EVENT_FIELDS)
 
+# Broker and Bronze columns.
 BROKER_SCHEMA = _struct(
     {
         "key": "binary",
@@ -107,6 +108,9 @@ SILVER_SCHEMA = _struct(EVENT_FIELDS | LINEAGE_FIELDS)
 # Both halves of Silver in one table, partitioned by the flag.
 FLAGGED_SCHEMA = _struct(EVENT_FIELDS | LINEAGE_FIELDS | {"valid": "boolean"})
 
+# A replay says what the contract finds, too.
+REPLAYED_SCHEMA = StructType([*FLAGGED_SCHEMA.fields, StructField("violations", StringType())])
+
 CONTROL_EVENT_SCHEMA = _struct({"event_time": "string", "event_type": "string", "reason": "string"})
 
 # The two forms of the control-event history: column name and type.
@@ -130,6 +134,7 @@ def accumulated_schema(history: str = "array") -> StructType:
 
 
 # ``value`` and ``payload`` hold a JSON document as text.
+# Field names and order of the records below.
 SPOOL_SCHEMA = _struct(
     {
         "topic": "string",
@@ -149,3 +154,7 @@ DEAD_LETTER_SCHEMA = _struct(
         "timestamp": "double",
     }
 )
+
+# As written: beside the nested document, which is for reading, its exact text.
+SPOOL_FILE_SCHEMA = StructType([*SPOOL_SCHEMA.fields, StructField("value_text", StringType())])
+DEAD_LETTER_FILE_SCHEMA = StructType([*DEAD_LETTER_SCHEMA.fields, StructField("payload_text", StringType())])
