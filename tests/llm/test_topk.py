@@ -65,13 +65,19 @@ def test_pruning_prunes_and_loses_nothing():
     true = queries @ vectors.T
     np.fill_diagonal(true[:, :60], -np.inf)
     thresholds = np.sort(true, axis=1)[:, -10]
-    found = {q: (i.tolist(), s.tolist()) for q, i, s in topk.search_bucket(ids[:60], queries, thresholds, ids, vectors, 10, counts)}
+    found = {q: (i.tolist(), s.tolist()) for q, i, s in topk.search_bucket(ids[:60], queries, thresholds, np.full(60, 500), ids, vectors, 10, counts)}
     for q in range(60):
         order = sorted((-true[q, i], i) for i in range(500) if true[q, i] >= thresholds[q])[:10]
         assert found[q] == ([i for _, i in order], [-s for s, _ in order])
     assert counts["left"] < 0.7 * counts["pairs"]
 
 
+def test_ties_with_the_known_threshold_go_to_smaller_ids():
+    one = np.ones((6, 2))
+    found = list(topk.search_bucket(np.array([9]), one[:1], np.array([2.0]), np.array([4]), np.array([1, 2, 3, 4, 5, 9]), one, 5))
+    assert [(q, i.tolist()) for q, i, _ in found] == [(0, [1, 2, 3])]
+
+
 def test_products_beyond_doubles():
     a = np.array([[2.0**40, 1.0]])
     assert topk._products(a, np.array([[2.0**20, 3.0], [2.0**40, 0.0]])).tolist() == [[2**60 + 3, 2**63 - 1]]

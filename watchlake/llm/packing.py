@@ -28,6 +28,8 @@ MAX_LEVELS = 12
 VOCABULARY = "byte_bpe_50k.json"
 _CACHE = 450_000
 _LONGEST_CACHED = 48
+_OTHER_SPACES = [chr(c) for c in range(0x110000) if c not in (10, 32) and chr(c).isspace()]
+_LINE_END = ("\n",)
 # Signs that the tokenizer never joins with a letter before them.
 _SIGNS = ".,;:!?*#$%&"
 
@@ -75,7 +77,8 @@ class Encoder:
                     known[chunk] = ids
         in_line, alone = [], []
         for chunk in missing:
-            (in_line if type(chunk) is str and "\n" not in chunk else alone).append(chunk)
+            sign = chunk if type(chunk) is str else chunk[0]
+            (in_line if sign and "\n" not in sign and sign.strip() == sign else alone).append(chunk)
         for i in range(0, len(in_line), 1024):
             block = in_line[i : i + 1024]
             if not self._learn_line(block, known):
@@ -91,10 +94,10 @@ class Encoder:
     def _learn_line(self, block: list[str], known: dict) -> bool:
         """Chunks encoded as the lines of one text, whose line ends part their ids.
 
-        A line end before a space is a unit of its own. Should the ends not come out
-        one for each line, nothing is kept.
+        A line end between other signs is a unit of its own. Should the ends not come
+        out one for each line, nothing is kept.
         """
-        line = " " + "\n ".join(block)
+        line = "\n".join([" " + c if type(c) is str else c[0] for c in block])
         ids = np.array(self.tokenizer.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(ids == self.line_end)
         if len(ends) != len(block) - 1:
@@ -106,36 +109,50 @@ class Encoder:
         return True
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [chunks(t) for t in texts]
         if len(self.known) > _CACHE:
             self.older, self.known = self.known, {}
         known = self.known
-        fresh = set(chain.from_iterable(split)).difference(known)
+        split = [chunks(t) for t in texts]
+        found = [list(map(known.get, own)) for own in split]
+        gaps = [[i for i, ids in enumerate(ids_of) if ids is None] if None in ids_of else None for ids_of in found]
+        fresh = {own[i] for own, missing in zip(split, gaps) if missing for i in missing}
         if fresh:
             self._learn(fresh, known)
-        out = [b"".join(map(known.__getitem__, own)) for own in split]
-        for chunk in fresh:
-            if len(chunk if type(chunk) is str else chunk[0]) > _LONGEST_CACHED:
-                del known[chunk]
-        return out
+            for own, ids_of, missing in zip(split, found, gaps):
+                for i in missing or ():
+                    ids_of[i] = known[own[i]]
+            for chunk in fresh:
+                if len(chunk if type(chunk) is str else chunk[0]) > _LONGEST_CACHED:
+                    del known[chunk]
+        return list(map(b"".join, found))
 
 
 def chunks(text: str) -> list:
-    """A text cut at every single space that stands between two other signs.
+    """A text cut at every single space or line end that stands between two other signs.
 
-    The first chunk comes as a tuple; each other one without the space before it.
+    Chunks after a space come without it; those that start the text or a line, and
+    line ends themselves, come as tuples.
     """
-    parts: list = text.split(" ")
-    # As many words as single spaces and line ends part: no white space meets another.
-    if len(text.split()) != text.count(" ") + text.count("\n") + 1:
-        parts = _joined(parts)
-    parts[0] = (parts[0],)
-    return parts
+    out: list = []
+    for line in text.split("\n"):
+        parts: list = line.split(" ")
+        if "" in parts:
+            return _joined(text)
+        parts[0] = (parts[0],)
+        if out:
+            out.append(_LINE_END)
+        out += parts
+    # Any other white space must not stand next to a cut.
+    for s in _OTHER_SPACES:
+        if s in text and (" " + s in text or s + " " in text or "\n" + s in text or s + "\n" in text):
+            return _joined(text)
+    return out
 
 
-def _joined(parts: list[str]) -> list[str]:
-    """Parts put together again where white space stands next to the cut."""
-    out = [parts[0]]
+def _joined(text: str) -> list:
+    """Chunks of a text in which white space meets: cut only at spaces that stand alone."""
+    parts = text.split(" ")
+    out: list = [parts[0]]
     whole = parts[0] == "" or parts[0][-1].isspace()
     for part in parts[1:]:
         if whole or part == "" or part[0].isspace():
@@ -143,6 +160,7 @@ def _joined(parts: list[str]) -> list[str]:
         else:
             out.append(part)
         whole = part == "" or part[-1].isspace()
+    out[0] = (out[0],)
     return out
 
 

@@ -74,11 +74,13 @@ def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np
     return ids[order], scores[order]
 
 
-def search_bucket(query_ids, queries, thresholds, ids, vectors, k: int = K, counts: dict | None = None):
+def search_bucket(query_ids, queries, thresholds, limits, ids, vectors, k: int = K, counts: dict | None = None):
     """Yields (query row, ids, scores): partners in a bucket of at least each query's threshold.
 
-    ``vectors`` are by falling norm. ``thresholds`` may be minus infinity. ``counts``,
-    if given, adds up how many pairs each way of pruning left.
+    ``vectors`` are by falling norm. ``thresholds`` may be minus infinity; a partner that
+    just reaches one must have an id below the query's limit, since the k-th best
+    known so far wins ties with later ids. ``counts``, if given, adds up how many
+    pairs pruning left.
     """
     queries, vectors = _same_width(queries, vectors)
     lengths, norms = np.sqrt((queries**2).sum(axis=1)), np.sqrt((vectors**2).sum(axis=1))
@@ -116,21 +118,21 @@ def search_bucket(query_ids, queries, thresholds, ids, vectors, k: int = K, coun
     for at in range(0, len(whole), 256):
         rows = whole[at : at + 256]
         for row, score in zip(rows, _products(queries[rows], vectors)):
-            yield row, *_partners(query_ids[row], ids, score, thresholds[row], k)
+            yield row, *_partners(query_ids[row], ids, score, thresholds[row], limits[row], k)
     # Rows with much left go together through one matrix product; few left go alone.
     dense = [(row, left) for row, left in open_rows if 4 * len(left) > len(vectors)]
     for at in range(0, len(dense), 256):
         rows = [row for row, _ in dense[at : at + 256]]
         for row, score in zip(rows, _products(queries[rows], vectors)):
-            yield row, *_partners(query_ids[row], ids, score, thresholds[row], k)
+            yield row, *_partners(query_ids[row], ids, score, thresholds[row], limits[row], k)
     for row, left in open_rows:
         if 4 * len(left) <= len(vectors) and len(left):
             score = _products(queries[row : row + 1], vectors[left])[0]
-            yield row, *_partners(query_ids[row], ids[left], score, thresholds[row], k)
+            yield row, *_partners(query_ids[row], ids[left], score, thresholds[row], limits[row], k)
 
 
-def _partners(query_id, ids, scores, threshold, k):
-    fit = (scores >= threshold) & (ids != query_id)
+def _partners(query_id, ids, scores, threshold, limit, k):
+    fit = ((scores > threshold) | (scores == threshold) & (ids < limit)) & (ids != query_id)
     return best_of(ids[fit], scores[fit], k)
 
 
@@ -138,10 +140,10 @@ _FOUND = "query_id long, vec_id long, score long"
 
 
 def _blocks(rows: DataFrame, number: str, side: str) -> DataFrame:
-    """Rows (vec_id, v, norm, theta) of each block number as one row of arrays, by falling norm."""
-    fields = F.struct((-F.col("norm")).alias("fall"), "vec_id", "v", "theta")
+    """Rows (vec_id, v, norm, theta, limit) of each block number as one row of arrays, by falling norm."""
+    fields = F.struct((-F.col("norm")).alias("fall"), "vec_id", "v", "theta", "limit")
     packed = F.sort_array(F.collect_list(fields)).alias("rows")
-    names = {"vec_id": "ids", "v": "vectors", "theta": "thresholds"}
+    names = {"vec_id": "ids", "v": "vectors", "theta": "thresholds", "limit": "limits"}
     return rows.groupBy(number).agg(packed, F.max("norm").alias("longest"), F.min("least_norm").alias("least_norm")).select(
         number, "longest", "least_norm", *[F.col(f"rows.{n}").alias(f"{side}_{out}") for n, out in names.items()]
     )
@@ -149,16 +151,16 @@ def _blocks(rows: DataFrame, number: str, side: str) -> DataFrame:
 
 def _search(pairs: DataFrame, k: int) -> DataFrame:
     """Partners found in joined pairs of a query block and a bucket."""
-    names = ["query_ids", "query_vectors", "query_thresholds", "bucket_ids", "bucket_vectors"]
+    names = ["query_ids", "query_vectors", "query_thresholds", "bucket_ids", "bucket_vectors", "query_limits"]
 
     def run(batches):
         for batch in batches:
             for at in range(batch.num_rows):
                 row = [batch.column(i).slice(at, 1).flatten() for i in range(len(names))]
-                query_ids, thresholds, ids = (row[i].to_numpy(zero_copy_only=False) for i in (0, 2, 3))
+                query_ids, thresholds, ids, limits = (row[i].to_numpy(zero_copy_only=False) for i in (0, 2, 3, 5))
                 found = [
                     (np.full(len(i), query_ids[q]), i, s)
-                    for q, i, s in search_bucket(query_ids, _matrix(row[1]), thresholds, ids, _matrix(row[4]), k)
+                    for q, i, s in search_bucket(query_ids, _matrix(row[1]), thresholds, limits, ids, _matrix(row[4]), k)
                 ]
                 columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
@@ -200,7 +202,7 @@ def top_k(
     )
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("asks"), 1)).alias("q")).first()
     # The buckets are range partitions by norm; equal norms are parted by the id.
-    nothing = {"theta": F.lit(float("-inf")), "least_norm": F.lit(float("-inf"))}
+    nothing = {"theta": F.lit(float("-inf")), "least_norm": F.lit(float("-inf")), "limit": F.lit(0).cast("long")}
     numbered = saved(
         rows.repartitionByRange(max(1, -(-size.n // bucket_rows)), F.desc("norm"), "vec_id")
         .withColumn("bucket", F.spark_partition_id())
@@ -227,10 +229,12 @@ def top_k(
     first = F.col("bucket") == F.lit(0 if first is None else first)
     found = saved(search(queries.withColumns(nothing), first), "topk-first")
     known = _ranked(found, k).where(F.col("rank") == k).select(
-        F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("theta")
+        F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("theta"), F.col("vec_id").alias("limit")
     )
     theta = F.coalesce("theta", F.lit(float("-inf")))
     least = F.when(F.col("theta") > 0, F.col("theta") / F.col("norm")).otherwise(F.lit(float("-inf")))
-    knowing = queries.join(known, "vec_id", "left").withColumn("theta", theta).withColumn("least_norm", least)
+    # Beyond what doubles tell apart, ties with the threshold stay in.
+    limit = F.when(F.abs("theta") < _EXACT, F.coalesce("limit", F.lit(0))).otherwise(F.lit(2**63 - 1)).cast("long")
+    knowing = queries.join(known, "vec_id", "left").withColumn("theta", theta).withColumns({"least_norm": least, "limit": limit})
     both = found.unionByName(search(knowing, ~first))
     return _ranked(both, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
