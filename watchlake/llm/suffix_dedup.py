@@ -143,7 +143,8 @@ def _anchor_places(texts: DataFrame) -> DataFrame:
 
 
 def _filter_slots(h: np.ndarray) -> np.ndarray:
-    return h >> (HASH_BITS - FILTER_BITS)
+    # The lower bits: anchors are chosen for small hashes, so their upper bits are alike.
+    return h & ((1 << FILTER_BITS) - 1)
 
 
 _PIECES = "h long, doc long, tid long, first long, end long, bytes binary"
@@ -170,7 +171,8 @@ def _piece_batches(parts: list[tuple]):
         np.concatenate([doc[sent], run_doc]),
         np.concatenate([tid[sent], run_tid]),
         np.concatenate([first[sent], run_start]),
-        np.concatenate([end[sent], run_end]),
+        # A piece's bytes tell its end.
+        np.concatenate([np.zeros(len(sent), np.int64), run_end]),
     ]
     carried = [pieces[i] for i in sent.tolist()] + [None] * len(run_doc)
     names = ["h", "doc", "tid", "first", "end", "bytes"]
@@ -366,7 +368,7 @@ _FOUND = "doc long, tid long, start long, end long, key binary"
 
 def _sort_group(table: pa.Table) -> pa.Table:
     """Covered runs of a group; for anchors that other groups hold too, keepers with their digests."""
-    table = table.sort_by([("h", "ascending"), ("doc", "ascending"), ("first", "ascending")])
+    table = table.sort_by([("doc", "ascending"), ("tid", "ascending"), ("first", "ascending")])
     known = table.filter(pc.is_null(table["bytes"]))
     table = table.filter(pc.is_valid(table["bytes"]))
     docs, tids, firsts = (table[n].to_numpy() for n in ("doc", "tid", "first"))
@@ -408,14 +410,12 @@ def covered_runs(texts: DataFrame, purpose: str = "suffix", use_filter: bool | N
     # Anchors of many places are dealt over groups of their own.
     hot = shared.where(F.col("n") > HOT_ROWS).select("h", F.ceil(F.col("n") / HOT_ROWS).alias("spread"))
     salt = F.pmod(F.xxhash64("doc", "tid", "first"), F.coalesce("spread", F.lit(1)))
-    dealt = pieces.join(broadcast_if_small(hot), "h", "left").select(
-        "h", "doc", "tid", "first", "end", "bytes", F.coalesce("spread", F.lit(1)).alias("spread"), salt.alias("salt")
-    )
     groups = max(1, -(-size.rows // GROUP_ROWS))
-    group = F.pmod(F.xxhash64("h", "salt"), F.lit(groups))
-    found = saved(
-        dealt.withColumn("group", group).groupBy("group").applyInArrow(_sort_group, _FOUND), f"{purpose}-windows"
-    )
+    dealt = pieces.join(broadcast_if_small(hot), "h", "left").select(
+        F.pmod(F.xxhash64("h", salt), F.lit(groups)).alias("group"),
+        "doc", "tid", "first", "end", "bytes", F.coalesce("spread", F.lit(1)).alias("spread"),
+    )
+    found = saved(dealt.groupBy("group").applyInArrow(_sort_group, _FOUND), f"{purpose}-windows")
     runs = found.where("key is null").select("doc", "tid", "start", "end")
     keepers = found.where("key is not null")
     least = keepers.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
