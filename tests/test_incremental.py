@@ -63,6 +63,29 @@ def test_exact_mode_with_counted_history(spark, tmp_path):
     assert rows_of(stored(spark, path, "count"), *also) == rows_of(expected, *also)
 
 
+def test_refresh_by_instant_when_offsets_differ(spark, tmp_path):
+    """Batches in any order give the full recompute by instants, whatever the texts sort like."""
+    from dataclasses import replace
+
+    from watchlake.functions.ordering import event_instant
+
+    zones = ["Z", "+05:00", "-07:30"]
+    rows = [
+        event(f"e{i}", "s1", ["play", "pause", "resume"][i % 3], f"2024-01-10T{(7 * i) % 24:02}:00:00{zones[i % 3]}", playback_position=i)
+        for i in range(30)
+    ]
+    rows += [r | {"event_version": 2, "event_time": r["event_time"][:11] + "12:30:00+05:00"} for r in rows[:4]]
+    path = str(tmp_path / "acc")
+    for part in (rows[20:], rows[:12], rows[12:20]):
+        refresh_table(silver(spark, part), path, replace(EXACT, by_instant=True), history="count")
+    timed = silver(spark, rows).withColumn("event_ts", event_instant())
+    expected = medallion.accumulated(timed, history="count", null_sessions="own", time_column="event_ts")
+    also = [*VIEW, "control_event_count"]
+    assert rows_of(stored(spark, path, "count"), *also) == rows_of(expected, *also)
+    by_text = medallion.accumulated(timed, history="count", null_sessions="own")
+    assert rows_of(by_text, *also) != rows_of(expected, *also)
+
+
 def test_another_history_form_is_refused(spark, tmp_path):
     """The stored histories stay; a rewrite under the other form would drop them."""
     path = str(tmp_path / "acc")

@@ -282,7 +282,7 @@ def accumulated_state(spark: SparkSession, folder: str) -> DataFrame:
 def accumulated_skewed(spark: SparkSession, folder: str) -> DataFrame:
     """The fold with two fifths of all rows in one session, which is split."""
     rows = sample.one_large_session(_silver(spark, folder))
-    folded = medallion.accumulated(rows, history="count", hot_rows=max(100, rows.count() // 20))
+    folded = medallion.accumulated(rows, history="count", hot_rows=2_000)
     return _state_view(folded, F.col("control_event_count"))
 
 
