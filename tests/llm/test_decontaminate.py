@@ -135,3 +135,17 @@ def test_empty_tables(spark):
     assert D.contaminated(none, items).count() == 0
     assert D.contaminated(one, items.limit(0)).count() == 0
     assert D.drop_contaminated(one, items.limit(0)).count() == 1
+
+
+def test_documents_that_begin_inside_an_item():
+    """Items whose first words are missing, in any row, are looked for in the document of the window."""
+    draw = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    items = [draw.choices(vocabulary, k=60) for _ in range(80)]
+    cache = D._WordHashes()
+    index = D.Index(list(range(80)), [D.word_hashes(" ".join(i), cache) for i in items], 0.8)
+    texts = [" ".join(item[draw.choice([4, 8]) :]) + " and so on" for item in items]
+    found = [{which for row, which, *_ in D.scan(index, order, cache)} for order in (texts, texts[::-1])]
+    alone = {which for text in texts for _, which, *_ in D.scan(index, [text], cache)}
+    assert found[0] == found[1] == alone
+    assert len(alone) >= 0.98 * 80

@@ -61,13 +61,14 @@ def _bits(words: np.ndarray, walk: int, step: int) -> np.ndarray:
     x = words ^ np.uint64((walk * 0x9E3779B97F4A7C15 + step * 0xD6E8FEB86659FD93 + 0xA5A5) & (2**64 - 1))
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+    # A walk that meets padding stays there.
+    return np.where(words == 0, np.uint64(0), x ^ (x >> np.uint64(32)))
 
 
 def walked(words: np.ndarray, starts: np.ndarray, walk: int, steps: list[int]):
     """For each of ``steps`` (ascending): the word that the walk from every start writes there.
 
-    ``words`` must end in enough padding (zeros) for any walk. ``starts`` ascend.
+    ``words`` must end in padding (a zero), where walks halt. ``starts`` ascend.
     Yields (step, words written), the latter aligned with ``starts``.
     """
     place, owner = starts.copy(), None
@@ -143,7 +144,7 @@ class Index:
             sizes.setdefault(_size_class(len(words)), []).append(i)
         self.plans = {size: plan_for(size) for size in sizes}
         self.listed = [w.tolist() for w in self.words]
-        self.pad = 2 * _LONGEST_WALK
+        self.pad = 1
         self.keys: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         self.pairs: dict[tuple[int, int], np.ndarray] = {}
         for size, members in sizes.items():
@@ -179,8 +180,11 @@ class Index:
         return out
 
     def candidates(self, line: np.ndarray, starts: np.ndarray):
-        """(position, item) arrays of windows that share a table's key with an item."""
-        found_at, found_item = [], []
+        """(position, item, window start) arrays of windows that share a table's key with an item.
+
+        The position is where the item would begin; it may lie before the window's text.
+        """
+        found_at, found_item, found_from = [], [], []
         for walk in range(WALKS):
             wanted = sorted({s for p in self.plans.values() for w, steps in p.tables if w == walk for s in steps})
             if not wanted:
@@ -212,12 +216,13 @@ class Index:
                             which = low[hit] + rank
                             found_at.append(starts[left[hit]] - shift[which])
                             found_item.append(items[which])
+                            found_from.append(starts[left[hit]])
                             state = None
                     table[1], table[2], table[3] = taken, state, left
         if not found_at:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        met = np.unique(np.column_stack([np.concatenate(found_item), np.concatenate(found_at)]), axis=0)
-        return met[:, 1], met[:, 0]
+            return tuple(np.zeros(0, np.int64) for _ in range(3))
+        met = np.unique(np.column_stack([np.concatenate(found_item), np.concatenate(found_at), np.concatenate(found_from)]), axis=0)
+        return met[:, 1], met[:, 0], met[:, 2]
 
 
 def best_alignment(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -284,8 +289,9 @@ def scan(index: Index, texts: list[str | None], cache: _WordHashes):
             total += len(parts[-1])
             row += 1
         lengths = np.array([len(p) for p in parts], np.int64)
-        edges = np.concatenate(([0], np.cumsum(lengths)))
-        line = np.concatenate([*parts, np.zeros(index.pad, np.uint64)])
+        # A zero after each document keeps walks from reading the next one.
+        edges = np.concatenate(([0], np.cumsum(lengths + index.pad)))
+        line = np.concatenate([x for p in parts for x in (p, np.zeros(index.pad, np.uint64))])
         if not total or not index.plans:
             continue
         # Windows start anew in each document, so that equal documents are read alike.
@@ -293,14 +299,14 @@ def scan(index: Index, texts: list[str | None], cache: _WordHashes):
         within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         holder = np.repeat(np.arange(len(parts)), counts)
         starts = edges[holder] + within * STRIDE
-        at, item = index.candidates(line, starts)
-        # The shifted start of an item may lie before the text; the window does not.
-        owner = np.searchsorted(edges, np.maximum(at, 0), "right") - 1
+        at, item, begun = index.candidates(line, starts)
+        # The shifted start of an item may lie before its document; the window does not.
+        owner = np.searchsorted(edges, begun, "right") - 1
         order = np.argsort(owner, kind="stable")
         cuts = np.flatnonzero(np.diff(owner[order])) + 1
         for own in np.split(order, cuts) if len(order) else []:
             doc = int(owner[own[0]])
-            for which, start, end, edits in matches(index, line, at[own], item[own], edges[doc], edges[doc + 1]):
+            for which, start, end, edits in matches(index, line, at[own], item[own], edges[doc], edges[doc] + lengths[doc]):
                 yield first + doc, which, start, end, edits
 
 
