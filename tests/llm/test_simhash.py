@@ -96,6 +96,20 @@ def test_one_of_each_stays(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted(expected, key=repr)
 
 
+def test_one_row_of_each_component_whatever_the_ids(spark):
+    """Ids that are missing or shared by several texts cost no component its row."""
+    draw = random.Random(9)
+    text = lambda: " ".join(f"w{draw.randrange(5000)}" for _ in range(60))
+    alone = [text() for _ in range(5)]
+    shared, twice, named = [text(), text()], text(), text()
+    rows = [(None, t) for t in alone] + [(None, alone[0]), (1, named), (None, named)]
+    rows += [(2, shared[0]), (2, shared[1]), (3, twice), (3, twice), (4, None), (None, "")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, place int").repartition(4)
+    got = [(r.doc_id, r.text) for r in simhash.keep_one_of_each(docs).collect()]
+    expected = [(None, t) for t in alone] + [(1, named), (2, shared[0]), (2, shared[1]), (3, twice), (4, None)]
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.simhash_components(docs).count() == 0

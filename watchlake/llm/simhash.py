@@ -47,17 +47,19 @@ def fingerprint(words: list[bytes], shingle_words: int = SHINGLE_WORDS) -> int:
     return int(bits.view("<u8")[0])
 
 
-def with_fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, fp) for every document, fp a signed long; null text counts as empty."""
-    source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+def with_fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", digest: Column | None = None) -> DataFrame:
+    """(id, fp) for every document, fp a signed long; null text counts as empty. ``digest``, if given, comes along."""
+    more = [] if digest is None else [digest.alias("digest")]
+    source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), *more)
 
     def run(batches):
         for batch in batches:
             values = [fingerprint(words_of(t)) for t in batch.column(1).to_pylist()]
             signed = np.array(values, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed)], ["doc_id", "fp"])
+            columns = [batch.column(0), pa.array(signed), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", *batch.schema.names[2:]])
 
-    return source.mapInArrow(run, "doc_id long, fp long")
+    return source.mapInArrow(run, "doc_id long, fp long" + ", digest string" * len(more))
 
 
 def _popcounts(bits: Column) -> Column:
@@ -108,6 +110,16 @@ def near_pairs(points: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame
     return met.select("a", "b")
 
 
+def _labels(prints: DataFrame) -> DataFrame:
+    """(fp, first, label): each fingerprint's smallest doc_id, and the component it is in."""
+    points = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    labels = components(near_pairs(points.select("fp")), "simhash-links")
+    return (
+        points.join(labels, points.fp == labels.node, "left")
+        .select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    )
+
+
 def simhash_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row for each document: (doc_id, fingerprint, component_id).
 
@@ -117,12 +129,7 @@ def simhash_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     ``component_id`` is null only where no document of the component has an id.
     """
     prints = saved(with_fingerprints(docs, id_column, text_column), "simhash-prints")
-    points = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    labels = components(near_pairs(points.select("fp")), "simhash-links")
-    named = (
-        points.join(labels, points.fp == labels.node, "left")
-        .select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    )
+    named = _labels(prints)
     smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
     classes = named.join(smallest, "label").select("fp", "component_id")
     return prints.join(classes, "fp").select(
@@ -131,20 +138,26 @@ def simhash_components(docs: DataFrame, id_column: str = "doc_id", text_column:
 
 
 def keep_one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` with one document of each near-duplicate component, all columns kept.
+    """``docs`` with one row of each near-duplicate component, all columns kept.
 
-    The document of the smallest id stays. Documents without an id stay unless their
-    component has one that has; rows that repeat an id that stays come out once.
+    The smallest id stays, or a document without an id where no document of the
+    component has one; of several texts the first by digest. A component is chosen
+    from alone, so what ids (null too) are elsewhere in the table does not matter.
     """
-    found = simhash_components(docs, id_column, text_column)
-    keep = saved(
-        found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy("doc_id", "fingerprint")
-        .agg(F.count(F.lit(1)).alias("n")),
-        "simhash-kept",
-    )
-    ids = keep.select(F.col("doc_id").alias("_kept_id")).distinct()
-    kept = docs.join(ids, docs[id_column].cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
-    if keep.where("n > 1").isEmpty() and keep.groupBy("doc_id").count().where("count > 1").isEmpty():
+    digest = F.sha2(text_column, 256)
+    prints = saved(with_fingerprints(docs, id_column, text_column, digest), "simhash-prints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "digest"))
+    # Copies are settled by fingerprint before anything is joined.
+    best = prints.groupBy("fp").agg(first.alias("row")).join(_labels(prints), "fp").groupBy("label").agg(F.min("row").alias("row"))
+    # An id and a text lie in one component, so these pairs are distinct.
+    keys = saved(best.select(F.col("row.doc_id").alias("_kept_id"), F.col("row.digest").alias("_kept_digest")), "simhash-kept")
+
+    def chosen(rows, own_id, own_digest):
+        return rows.join(keys, own_id.eqNullSafe(F.col("_kept_id")) & own_digest.eqNullSafe(F.col("_kept_digest")), "left_semi")
+
+    kept = chosen(docs, docs[id_column].cast("long"), digest)
+    found = chosen(prints, F.col("doc_id"), F.col("digest"))
+    if found.groupBy("doc_id", "digest").count().where("count > 1").isEmpty():
         return kept
-    return kept.dropDuplicates([id_column])
+    # Rows alike in id and text come out once.
+    return kept.dropDuplicates([id_column, text_column])
