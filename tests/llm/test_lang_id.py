@@ -88,3 +88,24 @@ def test_labels_are_no_inputs(spark):
     docs = spark.createDataFrame([(1, "some text", "aa"), (2, "some text", "bb")], "doc_id long, text string, lang string")
     one, two = L.with_language(docs.withColumn("x", F.lit(1)), model).collect()
     assert (one.lang_pred, one.score) == (two.lang_pred, two.score)
+
+
+def test_other_scripts_are_learned(spark):
+    draw = random.Random(4)
+    scripts = {"ru": "абвгдежзиклмнопрст", "el": "αβγδεζηθικλμνξοπρσ", "zh": "的一是不了人我在有他这中大来上", "aa": "kalomitune"}
+    rows = [
+        (i, " ".join("".join(draw.choices(scripts[lang], k=draw.randint(2, 6))) for _ in range(60)), lang)
+        for i, lang in enumerate(draw.choices(list(scripts), k=320))
+    ]
+    got = {r.doc_id: r for r in L.identify_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    held = [(got[i].lang_pred, lang) for i, _, lang in rows if got[i].held_out]
+    assert len(held) > 50 and sum(a == b for a, b in held) >= 0.97 * len(held)
+
+
+def test_every_language_and_lettered_text_teaches(spark):
+    rows = [(i, "some words of this language", f"x{i % 130:03}") for i in range(260)]
+    rows += [(900, "1 2 3 4 5 " * 100 + "ok", "few"), (901, "12 34", "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    windows, labels, languages = L.training_windows(docs, F.lit(True))
+    assert languages == sorted({f"x{i:03}" for i in range(130)} | {"few"})
+    assert (L.letters_in(windows) > 0).all() and set(labels.tolist()) == set(range(131))

@@ -17,7 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from watchlake.llm.common import fold_of
+from watchlake.llm.common import fold_of, saved
+from watchlake.operators.sizing import broadcast_if_small
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -25,7 +26,7 @@ FILTERS = 16
 CLASSES = 64
 SAMPLE_PER_LANGUAGE = 600
 WINDOWS_PER_TEXT = 4
-LANGUAGES = 100
+LEAST_LETTERS = 8
 EPOCHS = 4
 BATCH = 64
 UNKNOWN = "und"
@@ -57,6 +58,25 @@ def windows_of(text: bytes) -> np.ndarray:
     return out.reshape(n, WINDOW)
 
 
+def letters_in(windows: np.ndarray) -> np.ndarray:
+    """How many bytes of each window belong to letters, or to UTF-8 signs of more than a byte."""
+    return ((windows >= 1) & (windows <= 26) | (windows >= 31)).sum(axis=1)
+
+
+def teaching_windows(text: str) -> np.ndarray:
+    """Up to ``WINDOWS_PER_TEXT`` windows spread over a text, those with few letters left out.
+
+    A text with a letter keeps one window at least, the one with the most; one without
+    has none.
+    """
+    windows = windows_of(text.encode("utf-8", "surrogatepass"))
+    if not _LETTER.search(text):
+        return windows[:0]
+    spread = windows[np.unique(np.linspace(0, len(windows) - 1, WINDOWS_PER_TEXT).astype(int))]
+    kept = spread[letters_in(spread) >= LEAST_LETTERS]
+    return kept if len(kept) else windows[letters_in(windows).argmax()][None]
+
+
 @dataclass
 class ByteCnn:
     """``filters[w]`` has a response for each place in a filter of width w, class and filter."""
@@ -123,7 +143,7 @@ class ByteCnn:
 
     def _predict_group(self, group, parts, names, scores):
         windows = np.concatenate(parts)
-        letters = ((windows >= 1) & (windows <= 26) | (windows >= 31)).sum(axis=1) + 1e-6
+        letters = letters_in(windows) + 1e-6
         weighted = self.probabilities(windows) * letters[:, None]
         starts = np.concatenate(([0], np.cumsum([len(p) for p in parts])[:-1]))
         means = np.add.reduceat(weighted, starts, axis=0) / np.add.reduceat(letters, starts)[:, None]
@@ -184,36 +204,32 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs:
 
 
 def training_windows(docs: DataFrame, learn: Column, per_language: int = SAMPLE_PER_LANGUAGE):
-    """(windows, label numbers, languages) of a bounded sample of labelled texts.
+    """(windows, label numbers, languages) of a sample of labelled texts, bounded for each language.
 
-    About ``per_language`` texts of each of the ``LANGUAGES`` most frequent languages,
-    chosen by a hash; from each, up to ``WINDOWS_PER_TEXT`` windows spread over it.
-    Windows without letters teach nothing and stay out.
+    About ``per_language`` texts of every language there is, chosen by a hash; from
+    each, up to ``WINDOWS_PER_TEXT`` windows spread over it. Texts without letters
+    teach nothing and stay out.
     """
     named = docs.where(learn).where("lang is not null and text is not null")
-    counts = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
-        return np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), []
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, per_language / r["count"]))])
+    shares = saved(named.groupBy("lang").agg((F.lit(per_language) / F.count(F.lit(1))).alias("share")), "lang-shares")
     part = F.pmod(F.xxhash64("text", "doc_id"), F.lit(1_000_000)) / 1_000_000
-    chosen = named.where(part < share[F.col("lang")]).select("text", "lang")
+    sized = named.select("text", "lang", part.alias("part")).join(broadcast_if_small(shares), "lang")
+    chosen = sized.where("part < share").select("text", "lang")
 
     def run(batches):
         for batch in batches:
             kept, langs = [], []
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                windows = windows_of(text.encode("utf-8", "surrogatepass"))
-                places = np.unique(np.linspace(0, len(windows) - 1, WINDOWS_PER_TEXT).astype(int))
-                for window in windows[places]:
-                    if ((window >= 1) & (window <= 26)).sum() >= 8:
-                        kept.append(window.tobytes())
-                        langs.append(lang)
+                windows = teaching_windows(text)
+                kept += [window.tobytes() for window in windows]
+                langs += [lang] * len(windows)
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()), pa.array(langs, pa.string())], ["w", "lang"])
 
     rows = sorted((r.lang, bytes(r.w)) for r in chosen.mapInArrow(run, "w binary, lang string").collect())
     languages = sorted({lang for lang, _ in rows})
+    number = {lang: i for i, lang in enumerate(languages)}
     windows = np.frombuffer(b"".join(w for _, w in rows), np.uint8).reshape(-1, WINDOW)
-    return windows, np.array([languages.index(lang) for lang, _ in rows], np.int64), languages
+    return windows, np.array([number[lang] for lang, _ in rows], np.int64), languages
 
 
 def with_language(docs: DataFrame, model: ByteCnn) -> DataFrame:
