@@ -116,3 +116,23 @@ def test_masking(spark):
     assert [r.text for r in masked.orderBy("doc_id").collect()] == ["to <EMAIL>, é <IP>!", None]
     assert P.mask("0123456789", [("card", 2, 6), ("ip", 4, 8)]) == "01<CARD>89"
     assert P.mask_personal_data(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "before, piece, after, kind",
+    [
+        ('{"rows":[{"name":"somebody","tel":"', "617-555-0182", '","note":"nothing"},{"name":"nobody"' + ',"k":"v"' * 20 + "}]}", "phone"),
+        ("这是一段没有空格的文字" * 10 + "请打", "617-555-0182", "联系我们" * 20, "phone"),
+        ("请打电话", "617-555-0182", "联系我们", "phone"),
+        ("a,b,c,d;" * 20, "378282246310005", ",x,y" * 20, "card"),
+        ("<p><b>word</b>" * 10 + "<i>", "sam@intranet", "</i></p>" * 10, "email"),
+    ],
+)
+def test_unspaced_texts(crf, before, piece, after, kind):
+    (base, spans), = P.all_spans(crf, [before + piece + after], {})
+    assert base == [] and spans == [(kind, len(before), len(before) + len(piece))]
+
+
+def test_long_words_take_linear_time(crf):
+    for text in ("1" * 300_000, "a1" * 150_000, "1-" * 150_000, "1," * 50_000, "a@" * 50_000):
+        P.all_spans(crf, [text], {})

@@ -10,7 +10,9 @@ that are decoded on their own, with the same result as the whole chain.
 
 import hashlib
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,11 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _MARKED = re.compile(r"[0-9@]+")
 _GAP = re.compile(r"\s")
+# Letters of scripts other than Latin, and their full-width signs, end a token anywhere.
+_OTHER_SCRIPT = r"(?:(?![\u1e00-\u1eff\W\d_])[\u0250-\U0010ffff]|[\u3000-\u303f\uff00-\uff0f\uff1a-\uff20])"
+_TOKEN = re.compile(rf"(?:(?!{_OTHER_SCRIPT})\S)+")
+# In a long word signs that no added span holds inside end a token, too.
+_TOKEN_IN_LONG = re.compile(r"(?:[A-Za-z0-9@.+()_\-]|(?![\W\d_])[\u00c0-\u024f\u1e00-\u1eff])+")
 
 
 def passes_luhn(digits: str) -> bool:
@@ -195,7 +202,8 @@ def word_features(word: str) -> list[str]:
         features.append("four numbers")
     if shape == "9":
         features.append(f"only digits {_digit_bucket(digits)}")
-    parts = re.fullmatch(r"\(?([0-9]+)\)?[-.]?(?:([0-9]+)[-.]?)?(?:([0-9]+)[-.]?)?([0-9]*)", word.strip(_TRIMMED))
+    # No labelled number is longer than a long word, and its groups would tell nothing.
+    parts = len(word) <= _LONGEST_WORD and re.fullmatch(r"\(?([0-9]+)\)?[-.]?(?:([0-9]+)[-.]?)?(?:([0-9]+)[-.]?)?([0-9]*)", word.strip(_TRIMMED))
     if parts:
         features.append("groups " + " ".join(str(len(p)) for p in parts.groups() if p))
     return features
@@ -212,7 +220,7 @@ def context_class(word: str | None) -> str:
 
 
 def _marked(word: str) -> bool:
-    return len(word) <= _LONGEST_WORD and bool(_MARKED.search(word))
+    return bool(_MARKED.search(word))
 
 
 def _runs(words: list[str], labels: list[int]):
@@ -253,7 +261,9 @@ class Crf:
         if value is None:
             if len(cache) > 200_000:
                 cache.clear()
-            value = cache[word] = self._sum(word_features(word))
+            value = self._sum(word_features(word))
+            if len(word) <= _LONGEST_WORD:
+                cache[word] = value
         return value
 
     def _near(self, side, word, cache):
@@ -356,7 +366,12 @@ def viterbi(crf: Crf, runs: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def marked_runs(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of neighbouring words that hold a digit or an at sign, as (start, end) of each."""
+    """Runs of neighbouring words that hold a digit or an at sign, as (start, end) of each.
+
+    A word is cut into tokens at letters of scripts without spaces, and one of over
+    ``_LONGEST_WORD`` signs also where no span can go on; tokens that a sign parts are
+    no neighbours.
+    """
     runs: list[list[tuple[int, int]]] = []
     done = 0
     for m in _MARKED.finditer(text):
@@ -367,11 +382,17 @@ def marked_runs(text: str) -> list[list[tuple[int, int]]]:
             start -= 1
         gap = _GAP.search(text, m.end())
         end = gap.start() if gap else len(text)
-        if end - start <= _LONGEST_WORD:
-            if runs and not text[done:start].strip() and runs[-1] and runs[-1][-1][1] == done:
-                runs[-1].append((start, end))
+        if end - start <= _LONGEST_WORD and text.isascii():
+            tokens = [(start, end)]
+        else:
+            token = _TOKEN if end - start <= _LONGEST_WORD else _TOKEN_IN_LONG
+            tokens = [t.span() for t in token.finditer(text, start, end) if _MARKED.search(t[0])]
+        for own in tokens:
+            before = runs[-1][-1][1] if runs else -1
+            if before == done and own[0] == start and not text[done:start].strip():
+                runs[-1].append(own)
             else:
-                runs.append([(start, end)])
+                runs.append([own])
         done = end
     return runs
 
@@ -396,6 +417,10 @@ def added_spans(crf: Crf, texts: list[str], base: list[list[tuple[str, int, int]
             where.append((i, run))
             scores.append(crf.scores([text[s:e] for s, e in run], cache))
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+    taken = []
+    for spans in base:
+        ordered = sorted((s, e) for _, s, e in spans)
+        taken.append(([s for s, _ in ordered], list(accumulate((e for _, e in ordered), max))))
     for (i, run), labels in zip(where, viterbi(crf, scores)):
         spans: list[list] = []
         for (start, end), label in zip(run, labels):
@@ -412,7 +437,10 @@ def added_spans(crf: Crf, texts: list[str], base: list[list[tuple[str, int, int]
                 end -= 1
             while start < end and texts[i][start] in _TRIMMED:
                 start += 1
-            free = all(end <= s or e <= start for _, s, e in base[i])
+            # The furthest end of the base spans that begin before this one ends.
+            firsts, ends = taken[i]
+            before = bisect_left(firsts, end)
+            free = not before or ends[before - 1] <= start
             if start < end and free and _plausible(kind, texts[i][start:end]):
                 out[i].append((kind, start, end))
     return out
