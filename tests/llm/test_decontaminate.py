@@ -149,3 +149,27 @@ def test_documents_that_begin_inside_an_item():
     alone = {which for text in texts for _, which, *_ in D.scan(index, [text], cache)}
     assert found[0] == found[1] == alone
     assert len(alone) >= 0.98 * 80
+
+
+def edited(item, edits, vocabulary, draw):
+    copied = list(item)
+    for _ in range(edits):
+        place, kind = draw.randrange(len(copied)), draw.choice("sid")
+        if kind == "d":
+            del copied[place]
+        else:
+            copied[place : place + (kind == "s")] = [draw.choice(vocabulary)]
+    return copied
+
+
+@pytest.mark.parametrize("length", [1, 2, 3, 4, 5, 8, 10, 15, 20, 31, 34, 59, 64, 120, 250])
+def test_recall_at_the_allowed_edits(length):
+    draw = random.Random(length)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items = [draw.choices(vocabulary, k=length) for _ in range(150)]
+    cache = D._WordHashes()
+    index = D.Index(list(range(150)), [D.word_hashes(" ".join(i), cache) for i in items], 0.8)
+    parts = [edited(item, int(0.2 * length + 1e-9), vocabulary, draw) for item in items]
+    texts = [" ".join(draw.choices(vocabulary, k=draw.randrange(50)) + p + draw.choices(vocabulary, k=30)) for p in parts]
+    found = {(row, item) for row, item, *_ in D.scan(index, texts, cache)}
+    assert sum((i, i) in found for i in range(150)) >= (1 if length < 32 else 0.98) * 150

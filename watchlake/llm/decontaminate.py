@@ -8,6 +8,10 @@ Hamming distance of what they write. Bit-sampling LSH (words of a few sampled st
 hashed) then brings a document's windows together with benchmark items of their
 size. A window starts at every ``STRIDE``-th word, and an item is indexed from each of
 its first words on, so that some window starts where one of these walks did.
+Items of fewer than ``SEEDED_BELOW`` words have too few windows for that. They are cut
+into one piece more than edits are allowed, so one piece at least stands in the text
+unchanged; a lookup of word n-grams at every position finds it, and misses none.
+
 Whatever meets is verified by an exact alignment: the smallest edit distance of the whole item to any piece of the text
 around it must be at most ``(1 - similarity)`` of the item's words.
 
@@ -32,6 +36,7 @@ STEP_AGREEMENT = 0.7
 SAMPLES = 4
 STRIDE = 4
 WALKS = 3
+SEEDED_BELOW = 32
 ITEM_BLOCK = 4096
 _LONGEST_WALK = 512
 _POSITIONS = 1 << 19
@@ -96,6 +101,15 @@ def _fold(state: np.ndarray, word: np.ndarray) -> np.ndarray:
     return state ^ (state >> np.uint64(29))
 
 
+def _grams(line: np.ndarray, starts: int, longest: int):
+    """(length, hash of so many words from each of the first ``starts`` places on), by length."""
+    padded = np.concatenate([line, np.zeros(longest, np.uint64)])
+    state = np.full(starts, 0xA5A5, np.uint64)
+    for length in range(1, longest + 1):
+        state = _fold(state, padded[length - 1 : length - 1 + starts])
+        yield length, state
+
+
 @dataclass(frozen=True)
 class Plan:
     """The tables of the items of one size class: (walk, sampled steps) each."""
@@ -107,8 +121,7 @@ class Plan:
 def plan_for(least_words: int, similarity_recall: float = TARGET_RECALL) -> Plan:
     """Enough tables for the target recall where sampled steps agree as often as assumed."""
     hit = STEP_AGREEMENT**SAMPLES
-    meetings = max(1, offsets_of(least_words) // STRIDE)
-    n = math.ceil(math.log(1 - similarity_recall) / math.log(1 - hit) / meetings**0.5)
+    n = math.ceil(math.log(1 - similarity_recall) / math.log(1 - hit))
     # A step moves on by half a word; the last offset must leave words for the walk.
     steps = min(_LONGEST_WALK, max(SAMPLES, 2 * (least_words - offsets_of(least_words)) - 1))
     draw = np.random.default_rng(least_words)
@@ -141,12 +154,14 @@ class Index:
     def __post_init__(self):
         sizes: dict[int, list[int]] = {}
         for i, words in enumerate(self.words):
-            sizes.setdefault(_size_class(len(words)), []).append(i)
+            if len(words) >= SEEDED_BELOW:
+                sizes.setdefault(_size_class(len(words)), []).append(i)
         self.plans = {size: plan_for(size) for size in sizes}
         self.listed = [w.tolist() for w in self.words]
         self.pad = 1
         self.keys: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         self.pairs: dict[tuple[int, int], np.ndarray] = {}
+        self.seeds = self._seeds()
         for size, members in sizes.items():
             line = np.concatenate([np.concatenate([self.words[i], np.zeros(self.pad, np.uint64)]) for i in members])
             lengths = np.array([len(self.words[i]) + self.pad for i in members])
@@ -161,6 +176,39 @@ class Index:
                 filter_bits[(pair >> np.uint64(48)).astype(np.int64)] = True
                 self.pairs[size, t] = filter_bits
 
+    def _seeds(self) -> dict[int, tuple[np.ndarray, ...]]:
+        """By length: (keys, items, offsets, filter) of the pieces of the short items, keys ascending."""
+        pieces: dict[int, list[tuple[int, int, int]]] = {}
+        for i, words in enumerate(self.words):
+            n = len(words)
+            if n < SEEDED_BELOW:
+                parts = min(n, int((1 - self.similarity) * n + 1e-9) + 1)
+                edges = [n * j // parts for j in range(parts + 1)]
+                for a, b in zip(edges, edges[1:]):
+                    *_, (_, key) = _grams(words[a:b], 1, b - a)
+                    pieces.setdefault(b - a, []).append((int(key[0]), i, a))
+        out = {}
+        for length, own in sorted(pieces.items()):
+            own.sort()
+            keys = np.array([k for k, _, _ in own], np.uint64)
+            filter_bits = np.zeros(1 << 16, bool)
+            filter_bits[(keys >> np.uint64(48)).astype(np.int64)] = True
+            out[length] = keys, np.array([i for _, i, _ in own]), np.array([a for _, _, a in own]), filter_bits
+        return out
+
+    def _seeded(self, line: np.ndarray):
+        """(position, item, start) arrays for each length of pieces, where the line holds one."""
+        if not self.seeds:
+            return
+        for length, state in _grams(line, len(line), max(self.seeds)):
+            if length in self.seeds:
+                keys, items, offsets, filter_bits = self.seeds[length]
+                maybe = np.flatnonzero(filter_bits[(state >> np.uint64(48)).astype(np.int64)])
+                low, high = np.searchsorted(keys, state[maybe]), np.searchsorted(keys, state[maybe], "right")
+                hit = np.repeat(np.arange(len(low)), high - low)
+                which = low[hit] + np.arange(len(hit)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
+                yield maybe[hit] - offsets[which], items[which], maybe[hit]
+
     @staticmethod
     def _signatures(line, starts, plan):
         """For each table: the hash of its first two samples, and of all."""
@@ -185,6 +233,10 @@ class Index:
         The position is where the item would begin; it may lie before the window's text.
         """
         found_at, found_item, found_from = [], [], []
+        for places, items, begun in self._seeded(line):
+            found_at.append(places)
+            found_item.append(items)
+            found_from.append(begun)
         for walk in range(WALKS):
             wanted = sorted({s for p in self.plans.values() for w, steps in p.tables if w == walk for s in steps})
             if not wanted:
@@ -292,7 +344,7 @@ def scan(index: Index, texts: list[str | None], cache: _WordHashes):
         # A zero after each document keeps walks from reading the next one.
         edges = np.concatenate(([0], np.cumsum(lengths + index.pad)))
         line = np.concatenate([x for p in parts for x in (p, np.zeros(index.pad, np.uint64))])
-        if not total or not index.plans:
+        if not total or not index.ids:
             continue
         # Windows start anew in each document, so that equal documents are read alike.
         counts = -(-lengths // STRIDE)
