@@ -21,11 +21,12 @@ COLUMNS = {
     "op8": ["doc_id", "fingerprint", "component_id"],
     "op9": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
     "op10": ["doc_id", "held_out", "score", "predicted"],
+    "op11": ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
 }
 
 
 def test_all_are_registered():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 12)]
     assert {*QUERIES, "pipeline"} <= set(contract.queries())
 
 
@@ -35,7 +36,7 @@ def test_query(spark, name):
     operator = name.split("_")[0]
     assert [c for c in result.columns if c in COLUMNS[operator]] == COLUMNS[operator]
     rows = result.count()
-    if operator in ("op3", "op4", "op7", "op8", "op9", "op10"):
+    if operator in ("op3", "op4", "op7", "op8", "op9", "op10", "op11"):
         assert rows == spark.read.parquet(f"{FOLDER}/documents.parquet").count()
     if operator == "op2":
         assert rows == spark.read.parquet(f"{FOLDER}/pages.parquet").count()

@@ -1,0 +1,120 @@
+"""Alignment against whole-text encoding by the libraries, byte range by byte range."""
+
+import hashlib
+import random
+from collections import Counter
+
+import pytest
+import sentencepiece
+from tokenizers import Tokenizer
+
+from watchlake.llm import token_align as L
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+PATHS = public_tokenizers.path(L.VOCABULARY_A), public_tokenizers.path(L.VOCABULARY_B)
+
+TEXTS = [
+    "", " ", "\n", "a", " a", "a ", "a  b", "a\n\n b", "\nfoo", "foo\nbar baz\n", "Hello wörld 日本𠀀x", "x <|endoftext|> y </s> <s>", "a\x00b \x1c c",
+    "one ▁two", "▁", "<0x41> <0xF0>", "tab\tx  y 　z", "It's we'll", "é" * 40, "𠀀𠀀 𠀀", "w" * 300, "a b " * 200, "½ ﬁ\r\nq", "  \n  a",
+]
+
+
+def brute(texts):
+    """Per text (A ids, B ids, groups, links) from whole-text encodings and byte ranges."""
+    a_side, b_side = Tokenizer.from_file(PATHS[0]), sentencepiece.SentencePieceProcessor(model_file=PATHS[1])
+    a_side.encode_special_tokens = True
+    alphabet, vocabulary = L.byte_level_alphabet(), {i: t for t, i in a_side.get_vocab().items()}
+
+    def b_bytes(i):
+        piece = b_side.id_to_piece(i)
+        return bytes([int(piece[3:5], 16)]) if b_side.is_byte(i) else piece.replace("▁", " ").encode()
+
+    out = []
+    for text in texts:
+        whole = (" " + (text or "")).encode()
+        a = [(i, bytes(alphabet[c] for c in vocabulary[i])) for i in a_side.encode(whole.decode(), add_special_tokens=False).ids]
+        b = [(i, b_bytes(i)) for i in (b_side.encode(text) if text else [])]
+        if not text or b"".join(x for _, x in a) != whole or b"".join(x for _, x in b) != whole:
+            out.append(([], [], "", Counter()))
+            continue
+        ranges = []
+        for side in (a, b):
+            at, own = 0, []
+            for i, x in side:
+                own.append((i, at, at + len(x)))
+                at += len(x)
+            ranges.append(own)
+        both = sorted({e for _, _, e in ranges[0]} & {e for _, _, e in ranges[1]})
+        groups, low = [], 0
+        for high in both:
+            groups.append("|".join(",".join(str(i) for i, s, e in own if low <= s and e <= high) for own in ranges))
+            low = high
+        links = Counter((i, j) for i, s, e in ranges[0] for j, t, f in ranges[1] if s < f and t < e)
+        out.append((a, b, groups, links))
+    return out
+
+
+def expected(texts):
+    found = brute(texts)
+    count = Counter(pair for *_, links in found for pair in links)
+    highest = {}
+    for (a, _), n in count.items():
+        highest[a] = max(n, highest.get(a, 0))
+    rows = []
+    for a, b, groups, links in found:
+        digest = hashlib.sha256(";".join(groups).encode()).hexdigest() if a else ""
+        n_best = sum(n for pair, n in links.items() if count[pair] == highest[pair[0]])
+        rows.append(
+            (len(a), len(b), len(groups), sum(links.values()), n_best, sum(n * count[p] for p, n in links.items()), digest)
+        )
+    return rows
+
+
+def drawn(n):
+    draw = random.Random(7)
+    return ["".join(draw.choice("ab, .\n\té'9日𠀀  ") for _ in range(draw.randrange(50))) for _ in range(n)]
+
+
+def test_units_give_what_whole_texts_give():
+    aligner = L.Aligner(*PATHS)
+    assert aligner.apart
+    texts = TEXTS + drawn(400)
+    for text, (a, b, groups, links) in zip(texts, brute(texts)):
+        *numbers, digest, pairs, times = aligner.align(text)
+        assert numbers == [len(a), len(b), len(groups), sum(links.values())], repr(text)
+        assert digest == (hashlib.sha256(";".join(groups).encode()).hexdigest() if a else ""), repr(text)
+        assert dict(zip(pairs.tolist(), times.tolist())) == {x * aligner.width + y: n for (x, y), n in links.items()}
+
+
+def test_a_small_cache_changes_nothing(monkeypatch):
+    expected_rows = [L.Aligner(*PATHS).align(t)[:5] for t in TEXTS]
+    monkeypatch.setattr(L, "_CACHE", 2)
+    aligner = L.Aligner(*PATHS)
+    assert [aligner.align(t)[:5] for t in TEXTS] == expected_rows
+
+
+def test_packed_numbers_come_back():
+    import numpy as np
+
+    places, links = np.array([0, 5, 70_000]), np.array([1, 900, 3])
+    back = L.unpack(L.pack(places, links))
+    assert back[0].tolist() == places.tolist() and back[1].tolist() == links.tolist()
+
+
+def test_numbers_equal_brute_force(spark, monkeypatch):
+    texts = TEXTS + drawn(60) + [None, "a b c", "a b c"]
+    ids = [*range(len(texts) - 2), None, 3]
+    # Columns that clash with the operator's own are left alone.
+    docs = spark.createDataFrame(
+        [(i, t, 9, "x", 7) for i, t in zip(ids, texts)], "doc_id long, text string, block int, held string, n int"
+    ).repartition(5)
+    got = L.align_tokens(docs, *PATHS)
+    assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    assert sorted((tuple(r) for r in got.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1:])) == sorted(
+        [(i, *row) for i, row in zip(ids, expected(texts))], key=lambda r: (r[0] is None, r[0] or 0, r[1:])
+    )
+
+
+def test_an_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert L.align_tokens(docs, *PATHS).collect() == []

@@ -15,6 +15,7 @@ from watchlake.llm import (
     pii_crf,
     simhash,
     suffix_dedup,
+    token_align,
     topk,
     toxicity,
     url_filter,
@@ -63,6 +64,10 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_token_align(spark, sf_dir):
+    return token_align.align_tokens(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_url_filter": op2_url_filter,
@@ -74,6 +79,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_token_align": op11_token_align,
 }
 
 ORACLES: dict[str, str] = {
