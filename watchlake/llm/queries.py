@@ -19,6 +19,7 @@ from watchlake.llm import (
     topk,
     toxicity,
     url_filter,
+    warc,
 )
 from watchlake.llm.common import table
 
@@ -68,6 +69,10 @@ def op11_token_align(spark, sf_dir):
     return token_align.align_tokens(table(spark, sf_dir, "documents"))
 
 
+def op13_warc(spark, sf_dir):
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_url_filter": op2_url_filter,
@@ -80,6 +85,7 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_toxicity": op10_toxicity,
     "op11_token_align": op11_token_align,
+    "op13_warc": op13_warc,
 }
 
 ORACLES: dict[str, str] = {
@@ -100,4 +106,23 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
     """,
+    "op13_warc": """
+        WITH payloads AS (
+            SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages
+        ), ranked AS (
+            SELECT page_id, html, hex,
+                   row_number() OVER (PARTITION BY html ORDER BY page_id NULLS LAST, url NULLS LAST) AS place,
+                   first_value(page_id) OVER (PARTITION BY html ORDER BY page_id NULLS LAST, url NULLS LAST) AS first_id
+            FROM payloads
+        ), bits AS (
+            SELECT *, list_transform(range(40), lambda i: instr('0123456789abcdef', substr(hex, i + 1, 1)) - 1) AS d FROM ranked
+        )
+        SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+               array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (
+                   (d[1 + (5 * k) // 4] * 16 + coalesce(d[2 + (5 * k) // 4], 0)) // (CASE (5 * k) % 4 WHEN 0 THEN 8 WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 1 END)
+               ) % 32 AS BIGINT), 1)), '') AS payload_digest,
+               CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN place > 1 THEN first_id END AS refers_to
+        FROM bits
+    """,
 }
