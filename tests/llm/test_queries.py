@@ -22,12 +22,13 @@ COLUMNS = {
     "op9": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
     "op10": ["doc_id", "held_out", "score", "predicted"],
     "op11": ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
+    "op12": ["lang", "rank", "phrase", "a", "l", "r", "n", "score"],
     "op13": ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
 }
 
 
 def test_all_are_registered():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in [*range(1, 12), 13]]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert {*QUERIES, "pipeline"} <= set(contract.queries())
 
 

@@ -8,6 +8,7 @@ sums, exact round trips or held-out labels.
 from pyspark.sql import functions as F
 
 from watchlake.llm import (
+    collocations,
     decontaminate,
     hmm_lm,
     lang_id,
@@ -69,6 +70,10 @@ def op11_token_align(spark, sf_dir):
     return token_align.align_tokens(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_warc(spark, sf_dir):
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
@@ -85,6 +90,7 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_toxicity": op10_toxicity,
     "op11_token_align": op11_token_align,
+    "op12_collocations": op12_collocations,
     "op13_warc": op13_warc,
 }
 
@@ -106,6 +112,45 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
     """,
+    "op12_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[.,;:!?\n\x0B\f\r]')) AS piece
+            FROM documents
+        ), runs AS (
+            SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda w: w <> '') AS ws FROM pieces
+        ), grams AS (
+            SELECT lang, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: list_slice(ws, i, i + k - 1))) AS ws
+            FROM runs, (VALUES (1), (2), (3), (4)) sizes(k) WHERE len(ws) >= k
+        ), f AS (
+            SELECT lang, ws, count(*) AS n FROM grams GROUP BY lang, ws HAVING count(*) >= 30
+        ), totals AS (
+            SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM runs GROUP BY lang
+        ), cuts AS (
+            SELECT lang, ws, n AS a, unnest(range(1, len(ws))) AS k FROM f WHERE len(ws) >= 2
+        ), scored AS (
+            SELECT c.lang, c.ws, c.a, c.k, x.n AS l, y.n AS r,
+                   CAST((2000000::HUGEINT * c.a) // (x.n::HUGEINT + y.n) AS BIGINT) AS score
+            FROM cuts c
+            JOIN f x ON x.lang = c.lang AND x.ws = list_slice(c.ws, 1, c.k)
+            JOIN f y ON y.lang = c.lang AND y.ws = list_slice(c.ws, c.k + 1, len(c.ws))
+        ), lowest AS (
+            SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) = 1
+        ), parts AS (
+            SELECT lang, n, ws, unnest(range(2, len(ws))) AS m FROM f WHERE len(ws) >= 3
+        ), inside AS (
+            SELECT lang, ws, max(n) AS longer FROM (
+                SELECT lang, n, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: list_slice(ws, i, i + m - 1))) AS ws FROM parts
+            ) GROUP BY lang, ws
+        ), kept AS (
+            SELECT s.*, array_to_string(s.ws, ' ') AS phrase FROM lowest s LEFT JOIN inside i ON i.lang = s.lang AND i.ws = s.ws
+            WHERE i.longer IS NULL OR 100 * i.longer::HUGEINT < 80 * s.a::HUGEINT
+        ), ranked AS (
+            SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, score FROM kept
+        )
+        SELECT ranked.lang, rank, phrase, a, l, r, totals.n AS n, score FROM ranked JOIN totals ON totals.lang = ranked.lang WHERE rank <= 2000
+    """,
     "op13_warc": """
         WITH payloads AS (
             SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages
