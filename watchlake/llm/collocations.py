@@ -189,15 +189,18 @@ class _Numbers(dict):
         self[_BORDER] = 0
         self.names, self.hashes = [b""], [0]
 
-    def __missing__(self, word: bytes) -> int:
-        h = word_hash(self.lang, word)
-        number = 0
-        if self.frequent.has(np.array([h], np.uint64))[0]:
-            number = len(self.names)
-            self.names.append(word)
-            self.hashes.append(h)
-        self[word] = number
-        return number
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """The numbers of words in a row; those not met before are looked up together."""
+        known = self.keys()
+        fresh = list({word for word in words if word not in known})
+        hashes = [word_hash(self.lang, word) for word in fresh]
+        kept = self.frequent.has(np.array(hashes, np.uint64)).tolist()
+        for word, h, frequent in zip(fresh, hashes, kept):
+            self[word] = len(self.names) if frequent else 0
+            if frequent:
+                self.names.append(word)
+                self.hashes.append(h)
+        return np.array(list(map(self.__getitem__, words)), np.int64)
 
     def forget(self) -> None:
         """Drops what is known of words that are not frequent."""
@@ -320,10 +323,14 @@ def _count_phrases(depth: int, words: Bitmap, pairs: Bitmap | None):
                     numbers.reset()
                 elif len(numbers) > _KNOWN:
                     numbers.forget()
-                ids = np.array(list(map(numbers.__getitem__, tokens)), np.int64)
+                ids = numbers.of(tokens)
                 first, rest = windows(numbers, ids)
-                order = np.lexsort((rest, first))
-                first, rest = first[order], rest[order]
+                if depth == 2:
+                    packed = np.sort((first << _ID_BITS) | rest)
+                    first, rest = packed >> _ID_BITS, packed & ((1 << _ID_BITS) - 1)
+                else:
+                    order = np.lexsort((rest, first))
+                    first, rest = first[order], rest[order]
                 new = np.ones(len(first), bool)
                 new[1:] = (np.diff(first) != 0) | (np.diff(rest) != 0)
                 at = np.flatnonzero(new)
