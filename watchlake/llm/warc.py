@@ -129,11 +129,10 @@ def _three_records(kind: str, html: Column | None) -> Column:
          ("Content-Type", "application/http; msgtype=request")],
         F.concat(F.lit("GET "), F.coalesce(uri, F.lit("*")), F.lit(f" HTTP/1.1{RECORD_END}")),
     )
-    # A metadata record names the request: its way to the response has two steps.
     about = F.to_json(F.struct("page_id", "url"), {"ignoreNullFields": "false"})
     metadata = _record(
         [("WARC-Type", "metadata"), ("WARC-Record-ID", F.concat(F.lit("<"), own("metadata"), F.lit(">"))),
-         ("WARC-Concurrent-To", F.concat(F.lit("<"), own("request"), F.lit(">"))), *shared, ("Content-Type", "application/json")],
+         ("WARC-Concurrent-To", wrapped), *shared, ("Content-Type", "application/json")],
         about,
     )
     return F.array(request, main, metadata)
@@ -161,7 +160,7 @@ def write_archives(pages: DataFrame, path: str, captured_at: str, revisit_from:
     records = responses.select(F.explode(_three_records("response", F.col("html"))).alias("value")).unionByName(
         revisits.select(F.explode(_three_records("revisit", None)).alias("value"))
     )
-    records.write.option("lineSep", RECORD_END).option("compression", "gzip").text(path)
+    records.write.option("lineSep", RECORD_END).option("compression", "gzip").option("zlib.compress.level", "THREE").text(path)
 
 
 # --- reading ----------------------------------------------------------------
@@ -348,14 +347,13 @@ def capture_of(records: DataFrame) -> DataFrame:
     reached = saved(nodes.where("main").select("record_id", F.col("record_id").alias("capture_id")), "warc-captures")
     waiting = nodes.where("not main").select("record_id")
     parts, last = [reached], reached
-    while True:
-        steps = links.join(last.withColumnRenamed("record_id", "other"), "other").select("record_id", "capture_id")
-        waiting = saved(waiting.join(last.select("record_id"), "record_id", "left_anti"), "warc-waiting")
-        found = steps.join(waiting, "record_id").groupBy("record_id").agg(F.min("capture_id").alias("capture_id"))
-        last = saved(found, "warc-captures")
+    while not waiting.isEmpty():
+        steps = links.join(last.withColumnRenamed("record_id", "other"), "other").groupBy("record_id").agg(F.min("capture_id").alias("capture_id"))
+        last = saved(steps.join(waiting, "record_id"), "warc-captures")
         if last.isEmpty():
             break
         parts.append(last)
+        waiting = saved(waiting.join(last.select("record_id"), "record_id", "left_anti"), "warc-waiting")
     alone = waiting.select("record_id", F.col("record_id").alias("capture_id"))
     out = spark.createDataFrame([], alone.schema)
     for part in [*parts, alone]:
