@@ -136,3 +136,10 @@ def test_unspaced_texts(crf, before, piece, after, kind):
 def test_long_words_take_linear_time(crf):
     for text in ("1" * 300_000, "a1" * 150_000, "1-" * 150_000, "1," * 50_000, "a@" * 50_000):
         P.all_spans(crf, [text], {})
+
+
+def test_octets_of_any_length(spark):
+    for text, n in (("0" * 5000 + ".1.1.1", 1), ("1" * 10_000 + ".1.1.1", 0), ("0" * 9000 + "255." + "0" * 9000 + ".0.1", 1), ("0" * 9000 + "256.0.0.1", 0)):
+        assert sum(kind == "ip" for kind, *_ in P.base_spans(text)) == n
+    rows = spark.createDataFrame([(1, "0" * 5000 + ".1.1.1")], "doc_id long, text string")
+    assert P.find_personal_data(rows).first().n_ip == 1
