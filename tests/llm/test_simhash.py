@@ -122,3 +122,9 @@ def test_embedding_is_a_lower_bound(spark):
         part = (row.fp >> (32 * row.half)) & 0xFFFFFFFF
         counts = [bin(part >> (2 * i) & 3).count("1") for i in range(16)]
         assert [row.cell >> (2 * i) & 3 for i in range(16)] == counts
+
+
+def test_columns_named_like_the_keys_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c d", 7, "x"), (2, "a b c d", 8, "y")], "doc_id long, text string, _kept_id int, _KEPT_digest string")
+    kept = simhash.keep_one_of_each(docs)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, "a b c d", 7, "x")]

@@ -23,6 +23,14 @@ def saved(rows: DataFrame, purpose: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def free_name(wanted: str, taken: list[str]) -> str:
+    """``wanted``, or a longer name that no column of ``taken`` has, in any case of letters."""
+    lower = {name.lower() for name in taken}
+    while wanted.lower() in lower:
+        wanted = f"_{wanted}"
+    return wanted
+
+
 def fold_of(key: str, folds: int) -> Column:
     """crc32 of the key as text, modulo ``folds``; -1 where the key is null."""
     return F.coalesce(F.crc32(F.col(key).cast("string")) % folds, F.lit(-1))

@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from watchlake.llm.common import components, saved, words_of
+from watchlake.llm.common import components, free_name, saved, words_of
 
 SHINGLE_WORDS = 3
 MAX_DISTANCE = 3
@@ -150,10 +150,11 @@ def keep_one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: st
     # Copies are settled by fingerprint before anything is joined.
     best = prints.groupBy("fp").agg(first.alias("row")).join(_labels(prints), "fp").groupBy("label").agg(F.min("row").alias("row"))
     # An id and a text lie in one component, so these pairs are distinct.
-    keys = saved(best.select(F.col("row.doc_id").alias("_kept_id"), F.col("row.digest").alias("_kept_digest")), "simhash-kept")
+    kept_id, kept_digest = (free_name(name, docs.columns) for name in ("_kept_id", "_kept_digest"))
+    keys = saved(best.select(F.col("row.doc_id").alias(kept_id), F.col("row.digest").alias(kept_digest)), "simhash-kept")
 
     def chosen(rows, own_id, own_digest):
-        return rows.join(keys, own_id.eqNullSafe(F.col("_kept_id")) & own_digest.eqNullSafe(F.col("_kept_digest")), "left_semi")
+        return rows.join(keys, own_id.eqNullSafe(F.col(kept_id)) & own_digest.eqNullSafe(F.col(kept_digest)), "left_semi")
 
     kept = chosen(docs, docs[id_column].cast("long"), digest)
     found = chosen(prints, F.col("doc_id"), F.col("digest"))
