@@ -59,6 +59,7 @@ def accumulate_state(
     hot_rows: int | None = None,
     sessions_from: DataFrame | None = None,
     time_column: str | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """Add the running session columns to deduplicated events.
 
@@ -69,7 +70,8 @@ def accumulate_state(
     ``null_sessions="shared"`` folds all rows without a session together, ``"own"``
     folds each by itself. Sessions above ``hot_rows`` (by default as in ``HOT_ROWS``)
     are split over tasks. ``sessions_from`` is a cheaper frame to count session
-    sizes in, if there is one; its counts must not be below those of ``events``.
+    sizes in, if there is one; its counts must not be below those of ``events``. Where no
+    session can have more rows than ``largest``, that may spare the count.
     """
     if history not in HISTORY_COLUMN:
         raise ValueError(f"history must be one of {sorted(HISTORY_COLUMN)}")
@@ -78,12 +80,14 @@ def accumulate_state(
     own = null_sessions == "own"
 
     hot_rows = hot_rows or HOT_ROWS[history]
-    hot = _hot_sessions(events if sessions_from is None else sessions_from, hot_rows, own)
-    size = hot.agg(F.count(F.lit(1)).alias("sessions"), F.sum("rows").alias("rows")).first()
-
     keys = [F.col("session_id")]
     if own:
         keys.append(F.when(F.col("session_id").isNull(), F.col("event_id")))
+    if largest is not None and largest <= hot_rows:
+        return events.withColumns(_folded(running_frame(*keys, time_column=time_column), history))
+    hot = _hot_sessions(events if sessions_from is None else sessions_from, hot_rows, own)
+    size = hot.agg(F.count(F.lit(1)).alias("sessions"), F.sum("rows").alias("rows")).first()
+
     if not size.sessions:
         return events.withColumns(_folded(running_frame(*keys, time_column=time_column), history))
 

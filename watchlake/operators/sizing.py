@@ -20,3 +20,8 @@ def broadcast_if_small(keys: DataFrame, limit: int = BROADCAST_BYTES) -> DataFra
         F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(text_bytes), F.lit(0)).alias("text")
     ).first()
     return F.broadcast(keys) if size.rows * _ROW_BYTES + size.text <= limit else keys
+
+
+def broadcast_if_known_small(rows: DataFrame, size: int | None) -> DataFrame:
+    """The same for a size in bytes, or an upper bound of it, that an earlier action has found."""
+    return F.broadcast(rows) if (size or 0) <= BROADCAST_BYTES else rows

@@ -21,6 +21,7 @@ from watchlake.operators.parsing import flag_events, parse_events
 from watchlake.operators.snapshot import latest_rows, session_snapshot
 from watchlake.plans import medallion, sample
 from watchlake.plans.incremental import EXACT, PARITY, RefreshMode, refresh_table
+from watchlake.plans.session_store import SessionStore
 from watchlake.schemas import (
     BRONZE_SCHEMA,
     BROKER_SCHEMA,
@@ -328,6 +329,48 @@ def merge_upsert_parity(spark: SparkSession, folder: str) -> DataFrame:
     return _merged(spark, folder, PARITY)
 
 
+# --- the session store ------------------------------------------------------
+
+
+def _stored(spark: SparkSession, folder: str) -> SessionStore:
+    """The later batch first, the earlier one then, and the later one again under its old number."""
+    store = SessionStore(spark, new_work_folder(spark, "store"))
+    early, late = _two_batches(spark, folder)
+    for number, batch in ((0, late), (1, early), (1, early)):
+        store.refresh(batch, "batches", number)
+    return store
+
+
+def store_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    return _state_view(_stored(spark, folder).read(), F.col("control_event_count"))
+
+
+def store_snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    """The snapshot that the store keeps up to date, from its tails."""
+    return _stored(spark, folder).snapshot().withColumn("updated_at", F.date_format("updated_at", _SECONDS))
+
+
+def store_history(spark: SparkSession, folder: str) -> DataFrame:
+    """Each session's whole history, from the store's counted form."""
+    rows = _stored(spark, folder).read()
+    return attach_history(latest_rows(rows), control_events(rows)).select("session_id", "event_id", _history_text())
+
+
+def store_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The broken broker sample, parsed and streamed into a store by parts, one delivered twice."""
+    work = new_work_folder(spark, "store-stream")
+    store = SessionStore(spark, f"{work}/store")
+    bronze = _bronze(spark, folder)
+    early = F.coalesce(F.col("kafka_timestamp") < sample.CUTOFF, F.lit(False))
+    for part in (early, ~early, ~early):
+        rows = bronze.where(part).withColumn("ingest_ts", F.col("kafka_timestamp"))
+        flag_events(parse_events(rows)).write.mode("append").parquet(f"{work}/silver")
+        jobs.start_session_store(
+            stream_table(spark, f"{work}/silver", FLAGGED_SCHEMA), store, f"{work}/checkpoint"
+        ).awaitTermination()
+    return _state_view(store.read(), F.col("control_event_count"))
+
+
 # --- snapshots --------------------------------------------------------------
 
 
@@ -478,6 +521,10 @@ QUERIES: dict[str, Query] = {
     "merge_upsert_parity": merge_upsert_parity,
     "accumulated_stream": accumulated_stream,
     "pipeline_stream": pipeline_stream,
+    "store_upsert": store_upsert,
+    "store_snapshot": store_snapshot,
+    "store_history": store_history,
+    "store_stream": store_stream,
     "accumulate_by_instant": accumulated_by_instant,
     "session_snapshot": snapshot,
     "snapshot_history": snapshot_history,
@@ -719,6 +766,22 @@ _LAST_OF_SESSION = f"""last_rows as (
   where rn = 1
 )"""
 
+_SNAPSHOT = (
+    _with(*_FOLDED_SAMPLE, _LAST_OF_SESSION)
+    + "select session_id, user_id, content_id, session_state as current_state, "
+    "coalesce(current_playback_position, 0) as playback_position_sec, "
+    "strftime(cast(event_time as timestamp), '%Y-%m-%d %H:%M:%S') as updated_at from last_rows"
+)
+_SNAPSHOT_HISTORY = (
+    _with(*_FOLDED_SAMPLE, _LAST_OF_SESSION) + "select session_id, event_id, history from last_rows"
+)
+_STREAMED = _with(
+    sample.sql_silver(),
+    "usable as (select * replace (kafka_timestamp as ingest_ts) from parsed where valid)",
+    _latest("latest", "usable"),
+    _folded("folded", "latest", alone=True),
+)
+
 ORACLES: dict[str, str] = {
     "bronze_project": _with(sample.sql_bronze())
     + f"select {_BRONZE_LIST}, cast(date as varchar) as date from bronze",
@@ -762,24 +825,18 @@ ORACLES: dict[str, str] = {
     "where event_id not in (select event_id from upserts)\nunion all\n"
     f"select {_state_list('history')} from upserts",
     "accumulated_stream": _EXACT_STATE,
-    "pipeline_stream": _with(
-        sample.sql_silver(),
-        "usable as (select * replace (kafka_timestamp as ingest_ts) from parsed where valid)",
-        _latest("latest", "usable"),
-        _folded("folded", "latest", alone=True),
-    )
-    + f"select {_state_list('history')} from folded",
+    "pipeline_stream": _STREAMED + f"select {_state_list('history')} from folded",
+    "store_upsert": _with(*_FOLDED_SAMPLE) + f"select {_state_list('control_event_count')} from folded",
+    "store_snapshot": _SNAPSHOT,
+    "store_history": _SNAPSHOT_HISTORY,
+    "store_stream": _STREAMED + f"select {_state_list('control_event_count')} from folded",
     # Instants are those of the sample's own times, whichever way they are written.
     "accumulate_by_instant": _with(
         sample.sql_watch_events(), _latest("latest", "watch"), _folded("folded", "latest", history=False)
     )
     + f"select event_id, {', '.join(STATE_COLUMNS)}, control_event_count from folded",
-    "session_snapshot": _with(*_FOLDED_SAMPLE, _LAST_OF_SESSION)
-    + "select session_id, user_id, content_id, session_state as current_state, "
-    "coalesce(current_playback_position, 0) as playback_position_sec, "
-    "strftime(cast(event_time as timestamp), '%Y-%m-%d %H:%M:%S') as updated_at from last_rows",
-    "snapshot_history": _with(*_FOLDED_SAMPLE, _LAST_OF_SESSION)
-    + "select session_id, event_id, history from last_rows",
+    "session_snapshot": _SNAPSHOT,
+    "snapshot_history": _SNAPSHOT_HISTORY,
     "contract_violations": _codes("full"),
     "contract_violations_json_schema": _codes("json_schema"),
     "dead_letter": _with(sample.sql_bronze(), _contract("full"))
