@@ -15,6 +15,7 @@ keeps none back.
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -270,26 +271,31 @@ def _count_phrases(depth: int, words: Bitmap, pairs: Bitmap | None):
     """Pairs of frequent words (depth 2), or phrases of 3 to ``depth`` words of frequent pairs."""
 
     def runs_of(lang: str, numbers: _Numbers, subtrees):
-        names, phrases, counts = numbers.names, [], []
         mask = (1 << _ID_BITS) - 1
+        found: dict[int, list[tuple[np.ndarray, ...]]] = {}  # by length: columns of word numbers, and counts
         for word, rest, n in subtrees:
-            first = names[word]
-            if depth == 2:
-                phrases += [first + b" " + names[k] for k in rest.tolist()]
-                counts += n.tolist()
-                continue
             # A shorter phrase counts whatever follows it.
-            for length in range(3, depth + 1):
-                cut = _ID_BITS * (depth - length)
-                heads, at = np.unique(rest >> cut, return_inverse=True)
-                sums = np.bincount(at, weights=n, minlength=len(heads)).astype(np.int64)
+            for length in range(min(depth, 3), depth + 1):
+                heads, sums = rest, n
+                if length < depth:
+                    heads, at = np.unique(rest >> (_ID_BITS * (depth - length)), return_inverse=True)
+                    sums = np.bincount(at, weights=n, minlength=len(heads)).astype(np.int64)
                 whole = heads & mask != 0
-                for head, total in zip(heads[whole].tolist(), sums[whole].tolist()):
-                    further = [names[(head >> (_ID_BITS * i)) & mask] for i in range(length - 2, -1, -1)]
-                    phrases.append(b" ".join([first, *further]))
-                    counts.append(total)
-        order = sorted(range(len(phrases)), key=phrases.__getitem__)
-        yield from _run_rows(lang, [phrases[i] for i in order], [counts[i] for i in order])
+                heads = heads[whole]
+                further = [(heads >> (_ID_BITS * i)) & mask for i in range(length - 2, -1, -1)]
+                found.setdefault(length, []).append((np.full(len(heads), word), *further, sums[whole]))
+        names = pa.array(numbers.names, pa.binary())
+        rank = np.empty(len(names), np.int64)
+        rank[pc.sort_indices(names).to_numpy()] = np.arange(len(names))
+        for parts in found.values():
+            *words, counts = (np.concatenate(column) for column in zip(*parts))
+            order = np.lexsort([rank[column] for column in reversed(words)])
+            for i in range(0, len(order), _RUN_ROWS):
+                rows = order[i : i + _RUN_ROWS]
+                spelled = pc.binary_join_element_wise(*[names.take(pa.array(column[rows])) for column in words], b" ").cast(pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(pa.scalar(lang), len(rows)), spelled, pa.array(counts[rows])], ["lang", "phrase", "n"]
+                )
 
     def windows(numbers: _Numbers, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First words, and the packed rest, of all phrases to count."""
