@@ -13,6 +13,8 @@ let further phrases through, whose counts then say that they are too rare, but
 keeps none back.
 """
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -192,8 +194,7 @@ class _Numbers(dict):
 
     def of(self, words: list[bytes]) -> np.ndarray:
         """The numbers of words in a row; those not met before are looked up together."""
-        known = self.keys()
-        fresh = list({word for word in words if word not in known})
+        fresh = list(set(words).difference(self))
         hashes = [word_hash(self.lang, word) for word in fresh]
         kept = self.frequent.has(np.array(hashes, np.uint64)).tolist()
         for word, h, frequent in zip(fresh, hashes, kept):
@@ -228,25 +229,27 @@ def _texts(batches):
 
 def _count_words(batches):
     """(lang, word, n) in sorted runs, and (lang, null, all words)."""
-    held: dict[str, dict[bytes, int]] = {}
+    held: dict[str, Counter] = {}
     waiting: dict[str, list[bytes]] = {}
     totals: dict[str, int] = {}
     n_waiting = n_bytes = 0
 
     def settle():
         for lang, words in waiting.items():
-            own = held.setdefault(lang, {})
-            for word in words:
-                own[word] = own.get(word, 0) + 1
-            n = len(words) - words.count(_BORDER)
-            totals[lang] = totals.get(lang, 0) + n
-            own.pop(_BORDER, None)
+            own = held.setdefault(lang, Counter())
+            own.update(words)
+            totals[lang] = totals.get(lang, 0) + len(words) - own.pop(_BORDER, 0)
         waiting.clear()
 
     def spilled():
         for lang, own in held.items():
-            run = sorted(own.items())
-            yield from _run_rows(lang, [w for w, _ in run], [n for _, n in run])
+            words, counts = pa.array(own.keys(), pa.binary()), pa.array(own.values(), pa.int64())
+            order = pc.sort_indices(words)
+            for i in range(0, len(order), _RUN_ROWS):
+                rows = order[i : i + _RUN_ROWS]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(pa.scalar(lang), len(rows)), words.take(rows).cast(pa.string()), counts.take(rows)], ["lang", "phrase", "n"]
+                )
         held.clear()
 
     for lang, text in _texts(batches):
