@@ -30,7 +30,7 @@ VOCABULARY_A = "byte_bpe_50k.json"
 VOCABULARY_B = "piece_bpe_32k.model"
 BLOCK_CHARS = 8_000_000
 BLOCK_ROWS = 20_000
-_CACHE = 300_000
+_CACHE = 900_000
 _LONGEST_CACHED = 48
 _MARK = "▁"
 # Both vocabularies start a new token before a space or a line end between two other signs.
@@ -135,45 +135,72 @@ class Aligner:
         return _CUT.split(spaced) if self.apart else [spaced]
 
     def _learn(self, fresh: list[str]) -> None:
-        encoded = self.a.encode_batch(fresh, add_special_tokens=False)
-        for unit, a in zip(fresh, encoded):
-            raw = unit.encode()
-            inner = unit[1:] if unit[0] == " " else unit
-            pieces = [(p.id, p.end) for p in self.b.encode(inner, return_type="proto").pieces]
-            ids_a, ids_b = a.ids, [p[0] for p in pieces]
-            parts_a = [self.bytes_a.get(i, b"") for i in ids_a]
-            parts_b = [self.bytes_b[i] for i in ids_b]
-            # B's spans leave out the space that it added.
-            shift = len(raw) - len(inner.encode())
-            if not shift and parts_b and parts_b[0] == b" ":
-                # A unit after a line end has no added space of its own: its piece is no token.
-                ids_b, parts_b, pieces = ids_b[1:], parts_b[1:], pieces[1:]
-            agree = b"".join(parts_a) == raw and b"".join(parts_b) == raw
-            if agree:
-                if len(raw) == len(unit):
-                    coarse_a = [end for _, end in a.offsets]
-                else:
-                    edge = np.concatenate([[0], np.cumsum([len(c.encode()) for c in unit])]).tolist()
-                    coarse_a = [edge[end] for _, end in a.offsets]
-                ends_a = refined_ends(coarse_a, [len(p) for p in parts_a])
-                ends_b = refined_ends([end + shift for _, end in pieces], [len(p) for p in parts_b])
-                agree = ends_a[-1:] == ends_b[-1:] == [len(raw)]
-            if agree:
-                cuts = cut_groups(ends_a, ends_b)
-                text, i, j = [], 0, 0
-                for k, m in cuts:
-                    text.append(",".join(map(str, ids_a[i:k])) + "|" + ",".join(map(str, ids_b[j:m])))
-                    i, j = k, m
-                self.codes.extend([ids_a[i] * self.width + ids_b[j] for i, j in links_of(ends_a, ends_b)])
-                numbers = (len(ids_a), len(ids_b), len(cuts), 1)
-            else:
-                text, numbers = [], (0, 0, 0, 0)
-            self.known[unit] = len(self.groups)
-            self.chars += len(unit)
-            self.groups.append(";".join(text))
-            for column, number in zip(self.sizes, numbers):
-                column.append(number)
-            self.starts.append(len(self.codes))
+        """Units that start and end as any unit inside a text are encoded as one text, others alone."""
+        together, alone = [], []
+        for unit in fresh:
+            plain = self.apart and len(unit) > 1 and unit[0] in " \n" and not unit[1].isspace() and not unit[-1].isspace() and _MARK not in unit
+            (together if plain else alone).append(unit)
+        for i in range(0, len(together), 1024):
+            block = together[i : i + 1024]
+            if not self._learn_spans([" a", *block]):
+                alone += block
+        for unit in alone:
+            if not self._learn_spans([unit]):
+                self._keep(unit, [], [], [], [], False)
+
+    def _spans(self, text: str, raw: bytes) -> tuple[list[int], list[int], list[int], list[int]] | None:
+        """Ids of A and B and the byte offsets where their tokens end; None if they do not spell the text."""
+        a = self.a.encode(text, add_special_tokens=False)
+        inner = text[1:] if text[0] == " " else text
+        # B's spans leave out the space that it added.
+        shift = len(text) - len(inner)
+        pieces = [(p.id, p.end + shift) for p in self.b.encode(inner, return_type="proto").pieces]
+        if not shift and pieces and self.bytes_b[pieces[0][0]] == b" ":
+            # A unit after a line end has no added space of its own: its piece is no token.
+            pieces = pieces[1:]
+        ids_a, ids_b = a.ids, [i for i, _ in pieces]
+        parts_a, parts_b = [self.bytes_a.get(i, b"") for i in ids_a], [self.bytes_b[i] for i in ids_b]
+        if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
+            return None
+        coarse = [end for _, end in a.offsets]
+        if len(raw) != len(text):
+            signs = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+            edges = np.concatenate([[0], np.cumsum(1 + (signs >= 0x80) + (signs >= 0x800) + (signs >= 0x10000))])
+            coarse = edges[coarse].tolist()
+        ends_a, ends_b = refined_ends(coarse, list(map(len, parts_a))), refined_ends([end for _, end in pieces], list(map(len, parts_b)))
+        return (ids_a, ends_a, ids_b, ends_b) if ends_a[-1:] == ends_b[-1:] == [len(raw)] else None
+
+    def _learn_spans(self, units: list[str]) -> bool:
+        """Aligns units as one text; False, and nothing kept, unless both sides end a token where each ends."""
+        raws = [unit.encode("utf-8", "surrogatepass") for unit in units]
+        found = self._spans("".join(units), b"".join(raws))
+        if found is None:
+            return False
+        ids_a, ends_a, ids_b, ends_b = found
+        borders = np.cumsum(list(map(len, raws)))
+        last_a, last_b = np.searchsorted(ends_a, borders), np.searchsorted(ends_b, borders)
+        if (np.array(ends_a)[last_a] != borders).any() or (np.array(ends_b)[last_b] != borders).any():
+            return False
+        i = j = 0
+        for unit, k, m in zip(units, (last_a + 1).tolist(), (last_b + 1).tolist()):
+            if unit not in self.known:
+                self._keep(unit, ids_a[i:k], ends_a[i:k], ids_b[j:m], ends_b[j:m], True)
+            i, j = k, m
+        return True
+
+    def _keep(self, unit: str, ids_a: list[int], ends_a: list[int], ids_b: list[int], ends_b: list[int], agree: bool) -> None:
+        text, i, j = [], 0, 0
+        cuts = cut_groups(ends_a, ends_b)
+        for k, m in cuts:
+            text.append(",".join(map(str, ids_a[i:k])) + "|" + ",".join(map(str, ids_b[j:m])))
+            i, j = k, m
+        self.codes.extend([ids_a[i] * self.width + ids_b[j] for i, j in links_of(ends_a, ends_b)])
+        self.known[unit] = len(self.groups)
+        self.chars += len(unit)
+        self.groups.append(";".join(text))
+        for column, number in zip(self.sizes, (len(ids_a), len(ids_b), len(cuts), int(agree))):
+            column.append(number)
+        self.starts.append(len(self.codes))
 
     def align(self, text: str | None) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
         """Tokens of A and B, groups, links, the groups' digest, and distinct pairs with their links.
@@ -183,14 +210,13 @@ class Aligner:
         nothing = (0, 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int64))
         if not text:
             return nothing
-        if len(self.groups) > _CACHE or self.chars > _CACHE * _LONGEST_CACHED:
+        if len(self.groups) > _CACHE or self.chars > 20 * _CACHE:
             self.clear()
         units = self.units(text)
         found = list(map(self.known.get, units))
         if None in found:
             fresh = list({u for u, i in zip(units, found) if i is None})
-            for i in range(0, len(fresh), 1024):
-                self._learn(fresh[i : i + 1024])
+            self._learn(fresh)
             found = [self.known[u] for u in units]
             for unit in fresh:
                 if len(unit) > _LONGEST_CACHED:
