@@ -52,42 +52,15 @@ def byte_level_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
-def refined_ends(coarse: list[int], sizes: list[int]) -> list[int]:
+def refined_ends(coarse: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Byte offsets where tokens end, from coarse ends and the sizes of their decoded bytes.
 
-    A coarse end is right for the last token that has it, unless it goes back; tokens
-    before it inside the same sign end where their own bytes do.
+    A coarse end is right for the last token that has it, unless it goes back; other tokens
+    inside the same sign end where their decoded bytes do.
     """
-    ends, at = [], 0
-    last = len(coarse) - 1
-    for i, (end, size) in enumerate(zip(coarse, sizes)):
-        sure = i == last or coarse[i + 1] > end
-        at = end if sure and end > at else at + size
-        ends.append(at)
-    return ends
-
-
-def cut_groups(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int]]:
-    """How many tokens of each side lie before each offset where both end."""
-    out, i, j = [], 0, 0
-    while i < len(ends_a) and j < len(ends_b):
-        a, b = ends_a[i], ends_b[j]
-        i += a <= b
-        j += b <= a
-        if a == b:
-            out.append((i, j))
-    return out
-
-
-def links_of(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int]]:
-    """Indices of tokens whose byte ranges overlap, none of them being empty."""
-    out, i, j = [], 0, 0
-    while i < len(ends_a) and j < len(ends_b):
-        out.append((i, j))
-        a, b = ends_a[i], ends_b[j]
-        i += a <= b
-        j += b <= a
-    return out
+    ends = np.cumsum(sizes)
+    sure = np.append(coarse[1:] > coarse[:-1], True) & (coarse > ends - sizes)
+    return np.where(sure, coarse, ends)
 
 
 class Aligner:
@@ -116,6 +89,9 @@ class Aligner:
             byte = _BYTE_PIECE.fullmatch(piece) if self.b.is_byte(i) else None
             self.bytes_b.append(bytes([int(byte[1], 16)]) if byte else piece.replace(_MARK, " ").encode())
             apart = apart and not (_MARK in piece.lstrip(_MARK) or "\n" in piece)
+        self.size_a = np.zeros(max(self.bytes_a) + 1, np.int64)
+        self.size_a[list(self.bytes_a)] = list(map(len, self.bytes_a.values()))
+        self.size_b = np.array(list(map(len, self.bytes_b)))
         # Without the added space at the start, or with signs changed, units could not be put together.
         probe = self.b.encode(" a  b\nc", return_type="proto").pieces
         whole = b"".join(self.bytes_b[p.id] for p in probe)
@@ -145,10 +121,10 @@ class Aligner:
             if not self._learn_spans([" a", *block]):
                 alone += block
         for unit in alone:
-            if not self._learn_spans([unit]):
-                self._keep(unit, [], [], [], [], False)
+            if unit not in self.known and not self._learn_spans([unit]):
+                self._keep_unaligned(unit)
 
-    def _spans(self, text: str, raw: bytes) -> tuple[list[int], list[int], list[int], list[int]] | None:
+    def _spans(self, text: str, raw: bytes) -> tuple[np.ndarray, ...] | None:
         """Ids of A and B and the byte offsets where their tokens end; None if they do not spell the text."""
         a = self.a.encode(text, add_special_tokens=False)
         inner = text[1:] if text[0] == " " else text
@@ -158,17 +134,17 @@ class Aligner:
         if not shift and pieces and self.bytes_b[pieces[0][0]] == b" ":
             # A unit after a line end has no added space of its own: its piece is no token.
             pieces = pieces[1:]
-        ids_a, ids_b = a.ids, [i for i, _ in pieces]
-        parts_a, parts_b = [self.bytes_a.get(i, b"") for i in ids_a], [self.bytes_b[i] for i in ids_b]
-        if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
+        ids_a, ids_b = np.array(a.ids, np.int64), np.array([i for i, _ in pieces], np.int64)
+        if b"".join(map(self.bytes_a.__getitem__, a.ids)) != raw or b"".join([self.bytes_b[i] for i, _ in pieces]) != raw:
             return None
-        coarse = [end for _, end in a.offsets]
+        coarse = np.array([end for _, end in a.offsets])
         if len(raw) != len(text):
             signs = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
             edges = np.concatenate([[0], np.cumsum(1 + (signs >= 0x80) + (signs >= 0x800) + (signs >= 0x10000))])
-            coarse = edges[coarse].tolist()
-        ends_a, ends_b = refined_ends(coarse, list(map(len, parts_a))), refined_ends([end for _, end in pieces], list(map(len, parts_b)))
-        return (ids_a, ends_a, ids_b, ends_b) if ends_a[-1:] == ends_b[-1:] == [len(raw)] else None
+            coarse = edges[coarse]
+        ends_a, ends_b = refined_ends(coarse, self.size_a[ids_a]), refined_ends(np.array([end for _, end in pieces]), self.size_b[ids_b])
+        right = ends_a[-1] == ends_b[-1] == len(raw) and (np.diff(ends_a) > 0).all() and (np.diff(ends_b) > 0).all()
+        return (ids_a, ends_a, ids_b, ends_b) if right else None
 
     def _learn_spans(self, units: list[str]) -> bool:
         """Aligns units as one text; False, and nothing kept, unless both sides end a token where each ends."""
@@ -178,28 +154,47 @@ class Aligner:
             return False
         ids_a, ends_a, ids_b, ends_b = found
         borders = np.cumsum(list(map(len, raws)))
-        last_a, last_b = np.searchsorted(ends_a, borders), np.searchsorted(ends_b, borders)
-        if (np.array(ends_a)[last_a] != borders).any() or (np.array(ends_b)[last_b] != borders).any():
+        # An offset where both end closes a group; one where either ends closes a link.
+        both, either = np.intersect1d(ends_a, ends_b), np.union1d(ends_a, ends_b)
+        last = np.searchsorted(both, borders)
+        if (both[np.minimum(last, len(both) - 1)] != borders).any():
             return False
-        i = j = 0
-        for unit, k, m in zip(units, (last_a + 1).tolist(), (last_b + 1).tolist()):
-            if unit not in self.known:
-                self._keep(unit, ids_a[i:k], ends_a[i:k], ids_b[j:m], ends_b[j:m], True)
+        to_a, to_b = (np.searchsorted(ends, both) + 1 for ends in (ends_a, ends_b))
+        codes = ids_a[np.searchsorted(ends_a, either)] * self.width + ids_b[np.searchsorted(ends_b, either)]
+        links = np.searchsorted(either, borders) + 1
+        text_a, text_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
+        groups, i, j = [], 0, 0
+        for k, m in zip(to_a.tolist(), to_b.tolist()):
+            groups.append(",".join(text_a[i:k]) + "|" + ",".join(text_b[j:m]))
             i, j = k, m
+        first = len(units) - len(self._unmet(units))
+        base = len(self.codes) - (int(links[first - 1]) if first else 0)
+        low = int(last[first - 1]) + 1 if first else 0
+        for unit, high in zip(units[first:], (last[first:] + 1).tolist()):
+            self._keep(unit, ";".join(groups[low:high]))
+            low = high
+        before = lambda ends: np.diff(np.concatenate([[0], ends]))[first:].astype(np.int64)
+        for column, numbers in zip(self.sizes, (before(to_a[last]), before(to_b[last]), before(last + 1))):
+            column.frombytes(numbers.tobytes())
+        self.sizes[3].extend([1] * (len(units) - first))
+        self.codes.frombytes(codes[links[first - 1] if first else 0 :].tobytes())
+        self.starts.frombytes((base + links[first:]).astype(np.int64).tobytes())
         return True
 
-    def _keep(self, unit: str, ids_a: list[int], ends_a: list[int], ids_b: list[int], ends_b: list[int], agree: bool) -> None:
-        text, i, j = [], 0, 0
-        cuts = cut_groups(ends_a, ends_b)
-        for k, m in cuts:
-            text.append(",".join(map(str, ids_a[i:k])) + "|" + ",".join(map(str, ids_b[j:m])))
-            i, j = k, m
-        self.codes.extend([ids_a[i] * self.width + ids_b[j] for i, j in links_of(ends_a, ends_b)])
+    def _unmet(self, units: list[str]) -> list[str]:
+        """All units but a first one that is known already."""
+        return units[1:] if units[0] in self.known else units
+
+    def _keep(self, unit: str, groups: str) -> None:
         self.known[unit] = len(self.groups)
         self.chars += len(unit)
-        self.groups.append(";".join(text))
-        for column, number in zip(self.sizes, (len(ids_a), len(ids_b), len(cuts), int(agree))):
-            column.append(number)
+        self.groups.append(groups)
+
+    def _keep_unaligned(self, unit: str) -> None:
+        """A unit that the vocabularies do not spell byte for byte."""
+        self._keep(unit, "")
+        for column in self.sizes:
+            column.append(0)
         self.starts.append(len(self.codes))
 
     def align(self, text: str | None) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
