@@ -40,6 +40,7 @@ from watchlake.schemas import (
 from watchlake.session import new_work_folder
 from watchlake.sources.tables import read_table, stream_table
 from watchlake.sinks.append import RUN_ONCE
+from watchlake.sinks.outbox import Outbox, whole_round
 from watchlake.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -478,6 +479,33 @@ def replay(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Records of a round in ``replay_resend``.
+_ROUND = 2_000
+
+
+def replay_resend(spark: SparkSession, folder: str) -> DataFrame:
+    """All broker messages spooled, taken into an outbox, and sent in rounds; the sink is down once on the way."""
+    work = new_work_folder(spark, "resend")
+    envelopes.spool_lines(_spooled(spark, folder)).write.text(f"{work}/spool")
+    outbox = Outbox(spark, f"{work}/outbox")
+    jobs.start_outbox(jobs.stream_spool(spark, f"{work}/spool", None), outbox, f"{work}/checkpoint").awaitTermination()
+    down = [True]
+
+    def write(rows: DataFrame, first: int) -> None:
+        if first and down:
+            down.clear()
+            raise ConnectionError("the sink is down")
+        rows.withColumn("round", F.lit(first // _ROUND)).write.mode("append").parquet(f"{work}/sent")
+
+    try:
+        outbox.send(whole_round(write), _ROUND)
+    except ConnectionError:
+        pass
+    outbox.send(whole_round(write), _ROUND)
+    # Appended, not overwritten: a record sent twice would show.
+    return spark.read.parquet(f"{work}/sent").select("topic", F.col("key").alias("event_key"), "value", "digest", "position", "round")
+
+
 def _spooled(spark: SparkSession, folder: str) -> DataFrame:
     """All broker messages as spool records of the time they were sent."""
     sent = _bronze(spark, folder).selectExpr("topic", "event_key AS key", "raw_value AS value", "kafka_timestamp")
@@ -535,6 +563,7 @@ QUERIES: dict[str, Query] = {
     "dead_letter_stream": dead_letter_stream,
     "dead_letter_replay": dead_letter_replay,
     "replay": replay,
+    "replay_resend": replay_resend,
     "publish_records": publish_records,
     "publish_roundtrip": publish_roundtrip,
     "quality_counts": quality_counts,
@@ -868,6 +897,14 @@ ORACLES: dict[str, str] = {
     + f"select {', '.join(EVENT_FIELDS)}, event_key, raw_value, "
     "strftime(kafka_timestamp, '%Y-%m-%d %H:%M:%S') as spooled_at, violations, "
     "cast(valid as integer) as is_valid from parsed join rules on raw_value is not distinct from text",
+    "replay_resend": _with(
+        sample.sql_bronze(),
+        "sized as (select topic, event_key, raw_value as value, kafka_timestamp, sha256("
+        + " || ".join(f"coalesce(length({c}) || ':' || {c}, '-')" for c in ("topic", "event_key", "raw_value"))
+        + ") as digest from bronze)",
+        "placed as (select *, row_number() over (order by kafka_timestamp nulls first, digest) - 1 as position from sized)",
+    )
+    + f"select topic, event_key, value, digest, position, cast(position // {_ROUND} as integer) as round from placed",
     "publish_records": _with(sample.sql_watch_events(), _latest("latest", "watch"))
     + f"select '{EVENT_TOPIC}' as topic, session_id as key, "
     f"{sample.sql_payload()} as value, 1 as n_headers from latest",
