@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from watchlake.functions.contract import CONTRACT
 from watchlake.functions.ordering import event_instant
-from watchlake.functions.playback import history_text
-from watchlake.operators import envelopes, lookback, quality
+from watchlake.functions.playback import history_text, time_ordered, without_nulls
+from watchlake.operators import envelopes, lag_sketch, lookback, quality
 from watchlake.operators.accumulate import STATE_COLUMNS, accumulate_state
 from watchlake.operators.contract import validate_contract
 from watchlake.operators.dedup import latest_events
@@ -40,6 +40,7 @@ from watchlake.schemas import (
 from watchlake.session import new_work_folder
 from watchlake.sources.tables import read_table, stream_table
 from watchlake.sinks.append import RUN_ONCE
+from watchlake.sinks.ledger import CounterLedger, counted
 from watchlake.sinks.outbox import Outbox, whole_round
 from watchlake.streaming import jobs
 
@@ -84,7 +85,7 @@ def bronze_project(spark: SparkSession, folder: str) -> DataFrame:
     return _bronze_view(_bronze(spark, folder))
 
 
-def _bronze_view(bronze: DataFrame) -> DataFrame:
+def _bronze_view(bronze: DataFrame, *also: Column) -> DataFrame:
     return bronze.select(
         "topic",
         "partition",
@@ -94,6 +95,7 @@ def _bronze_view(bronze: DataFrame) -> DataFrame:
         "event_key",
         "raw_value",
         _text("date"),
+        *also,
     )
 
 
@@ -136,6 +138,39 @@ def bronze_stream(spark: SparkSession, folder: str) -> DataFrame:
     return _bronze_view(read_table(spark, f"{work}/bronze", BRONZE_SCHEMA)).drop("date")
 
 
+# When the rows of ``bronze_clock_stream`` landed.
+_LANDED = "2024-05-06 07:08:09"
+
+
+def bronze_clock_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The landing stream on its own clock, ended once its source is drained; the landing time is passed in."""
+    work = new_work_folder(spark, "bronze-clock")
+    _write_broker_files(spark, folder, f"{work}/broker")
+    query = jobs.start_bronze(
+        stream_table(spark, f"{work}/broker", BROKER_SCHEMA),
+        f"{work}/bronze",
+        f"{work}/checkpoint",
+        ingest_ts=F.to_timestamp(F.lit(_LANDED)),
+    )
+    jobs.stop_when_drained([query])
+    landed = F.date_format("ingest_ts", _SECONDS).alias("landed")
+    return _bronze_view(read_table(spark, f"{work}/bronze", BRONZE_SCHEMA), landed)
+
+
+def silver_clock_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The Silver stream with the default trigger, batch upon batch, ended once its source is drained."""
+    work = new_work_folder(spark, "silver-clock")
+    _write_bronze_files(spark, folder, f"{work}/bronze")
+    query = jobs.start_silver(
+        stream_table(spark, f"{work}/bronze", BRONZE_SCHEMA), f"{work}/silver", f"{work}/checkpoint"
+    )
+    jobs.stop_when_drained([query])
+    return _silver_view(
+        read_table(spark, f"{work}/silver", FLAGGED_SCHEMA).withColumn("is_valid", F.col("valid").cast("int")),
+        "is_valid",
+    )
+
+
 def silver_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Bronze through the single-pass Silver stream."""
     work = new_work_folder(spark, "silver")
@@ -386,6 +421,13 @@ def snapshot_history(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("session_id", "event_id", _history_text())
 
 
+def history_ordered(spark: SparkSession, folder: str) -> DataFrame:
+    """Each session's history, turned round and full of gaps, put in order of time again."""
+    rows = latest_rows(medallion.accumulated(_silver(spark, folder)))
+    gaps = F.flatten(F.transform(F.reverse("control_event_history"), lambda entry: F.array(entry, F.lit(None))))
+    return rows.select("session_id", history_text(time_ordered(without_nulls(gaps))).alias("history"))
+
+
 # --- contract, dead letters, replay, publishing, metrics --------------------
 
 
@@ -520,6 +562,41 @@ def quality_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.unionByName(quality.recovery_counts(spool, replayed))
 
 
+def quality_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """Counters as a stream, an outbox and its sending ran them; the stream's batches are delivered twice."""
+    work = new_work_folder(spark, "ledger")
+    _write_bronze_files(spark, folder, f"{work}/bronze")
+    ledger = CounterLedger(spark, f"{work}/ledger", "contract")
+    write = lambda rows, batch_id: rows.write.mode("overwrite").parquet(f"{work}/checked/batch={batch_id}")
+    for run in (1, 2):
+        rows = parse_events(validate_contract(stream_table(spark, f"{work}/bronze", BRONZE_SCHEMA)))
+        stream = rows.writeStream.foreachBatch(counted(ledger, quality.outcome_counts("violations"), write))
+        stream.option("checkpointLocation", f"{work}/checkpoint-{run}").trigger(**RUN_ONCE).start().awaitTermination()
+    outbox = Outbox(spark, f"{work}/outbox")
+    for _ in range(2):
+        outbox.add(_spooled(spark, folder), "spool", 0)
+    outbox.send(whole_round(lambda rows, first: rows.write.parquet(f"{work}/sent/round={first}")), 1_000_000)
+    return ledger.totals().unionByName(outbox.counts())
+
+
+# Batches of ``lag_by_batches``, and those of the range it reports.
+_LAG_BATCHES, _LAG_RANGE = 10, (2, 7)
+
+
+def lag_by_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """Lag of a range of batches, from stored sketches; one batch is recorded twice."""
+    bronze = _bronze(spark, folder)
+    history = lag_sketch.LagHistory(spark, new_work_folder(spark, "lags"))
+    for number in [*range(_LAG_BATCHES), _LAG_RANGE[0]]:
+        history.record(bronze.where(F.col("offset") % _LAG_BATCHES == number), number)
+    sketch = history.between(*_LAG_RANGE)
+    histogram = lag_sketch.sketch_histogram(sketch).select(F.concat(F.lit("le "), "le").alias("metric"), F.col("n").cast("double").alias("value"))
+    percentiles = lag_sketch.sketch_percentiles(sketch)
+    return histogram.unionByName(
+        percentiles.select(F.concat(F.lit("p "), F.col("share").cast("string")).alias("metric"), F.col("lag_sec").alias("value"))
+    )
+
+
 def ingest_lag(spark: SparkSession, folder: str) -> DataFrame:
     return quality.ingest_lag(_bronze(spark, folder))
 
@@ -533,6 +610,8 @@ QUERIES: dict[str, Query] = {
     "silver_valid": silver_valid,
     "silver_invalid": silver_invalid,
     "bronze_stream": bronze_stream,
+    "bronze_clock_stream": bronze_clock_stream,
+    "silver_clock_stream": silver_clock_stream,
     "silver_stream": silver_stream,
     "silver_pair_stream": silver_pair_stream,
     "dedup_latest": dedup_latest,
@@ -556,6 +635,7 @@ QUERIES: dict[str, Query] = {
     "accumulate_by_instant": accumulated_by_instant,
     "session_snapshot": snapshot,
     "snapshot_history": snapshot_history,
+    "history_ordered": history_ordered,
     "contract_violations": contract_violations,
     "contract_violations_json_schema": contract_violations_json_schema,
     "dead_letter": dead_letter,
@@ -567,6 +647,8 @@ QUERIES: dict[str, Query] = {
     "publish_records": publish_records,
     "publish_roundtrip": publish_roundtrip,
     "quality_counts": quality_counts,
+    "quality_ledger": quality_ledger,
+    "lag_by_batches": lag_by_batches,
     "ingest_lag": ingest_lag,
     "lag_percentiles": lag_percentiles,
 }
@@ -737,7 +819,7 @@ def _codes(rules: str) -> str:
     )
 
 
-def _quality() -> str:
+def _quality(replayed: str | None = None) -> str:
     again = "try_cast(json_extract(doc, '$.event_header_reemission') as integer) > 0"
     usable = " and ".join(
         f"json_extract_string(doc, '$.{name}') is not null"
@@ -750,7 +832,7 @@ def _quality() -> str:
         "reemitted": again,
         "dead_lettered": "len(codes) > 0",
         "spooled": "true",
-        "replayed": f"coalesce({usable}, false)",
+        "replayed": replayed or f"coalesce({usable}, false)",
     }
     rows = "\nunion all\n".join(
         f"select '{name}' as outcome, count(*) filter (where {test}) as n from checked"
@@ -771,6 +853,23 @@ def _lag() -> str:
     )
 
 
+def _lag_of_range() -> str:
+    low, high = _LAG_RANGE
+    size = f"greatest(length(bin(abs(lag))) - {lag_sketch.LEADING_BITS}, 0)"
+    rows = [
+        f"select 'le {bound}' as metric, cast(count(*) filter (where lag / 1e6 <= {bound}) as double) as value from lags"
+        for bound in quality.LAG_BOUNDS
+    ]
+    rows.append("select 'le +Inf', cast(count(*) as double) from lags")
+    rows += [f"select 'p {share}', quantile_disc(bucket, {share}) / 1e6 from buckets" for share in (0.5, 0.95, 0.99)]
+    return _with(
+        sample.sql_bronze(),
+        "lags as (select epoch_us(ingest_ts) - epoch_us(kafka_timestamp) as lag from bronze "
+        f"where \"offset\" % {_LAG_BATCHES} between {low} and {high} and ingest_ts is not null and kafka_timestamp is not null)",
+        f"buckets as (select sign(lag) * ((abs(lag) >> {size}) << {size}) as bucket from lags)",
+    ) + "\nunion all\n".join(rows)
+
+
 def _percentiles() -> str:
     lag = "(epoch_us(ingest_ts) - epoch_us(kafka_timestamp)) / 1e6"
     rows = "\nunion all\n".join(
@@ -818,6 +917,9 @@ ORACLES: dict[str, str] = {
     "silver_invalid": _with(sample.sql_silver())
     + f"select {_SILVER_LIST} from parsed where not valid",
     "bronze_stream": _with(sample.sql_bronze()) + f"select {_BRONZE_LIST} from bronze",
+    "bronze_clock_stream": _with(sample.sql_bronze())
+    + f"select {_BRONZE_LIST}, '{_LANDED[:10]}' as date, '{_LANDED}' as landed from bronze",
+    "silver_clock_stream": _BOTH_HALVES,
     "silver_stream": _BOTH_HALVES,
     "silver_pair_stream": _BOTH_HALVES,
     "dedup_latest": _with(sample.sql_watch_events(), _latest("latest", "watch"))
@@ -866,6 +968,14 @@ ORACLES: dict[str, str] = {
     + f"select event_id, {', '.join(STATE_COLUMNS)}, control_event_count from folded",
     "session_snapshot": _SNAPSHOT,
     "snapshot_history": _SNAPSHOT_HISTORY,
+    "history_ordered": _with(*_FOLDED_SAMPLE, _LAST_OF_SESSION)
+    + "select l.session_id, coalesce(string_agg(concat_ws('|', c.event_time, c.event_type, "
+    "coalesce(c.pause_reason, c.resume_reason, c.abandoned_reason, '-')), ';' "
+    "order by c.event_time nulls last, c.control_event_count desc) "
+    "filter (where c.event_id is not null), '') as history "
+    "from last_rows l left join folded c on c.session_id = l.session_id "
+    "and c.event_type in ('pause', 'resume', 'abandoned') and c.control_event_count <= l.control_event_count "
+    "group by l.session_id",
     "contract_violations": _codes("full"),
     "contract_violations_json_schema": _codes("json_schema"),
     "dead_letter": _with(sample.sql_bronze(), _contract("full"))
@@ -911,6 +1021,9 @@ ORACLES: dict[str, str] = {
     "publish_roundtrip": _with(sample.sql_watch_events(), _latest("latest", "watch"))
     + f"select {', '.join(EVENT_FIELDS)}, session_id as event_key, '' as violations from latest",
     "quality_counts": _quality(),
+    # What an outbox sends is every record, whether it parses or not.
+    "quality_ledger": _quality(replayed="true"),
+    "lag_by_batches": _lag_of_range(),
     "ingest_lag": _lag(),
     "lag_percentiles": _percentiles(),
 }
