@@ -109,8 +109,9 @@ def test_a_trie_holds_what_a_dict_holds(monkeypatch):
     assert any(isinstance(node, C.HatTrie.Branch) for node in trie.root.values())
     assert trie.entries == len(plain)
     for keep in (len(plain) // 2, 0):
-        for word, rest, n in trie.spill(keep):
-            out.update({(word, k): c for k, c in zip(rest.tolist(), n.tolist())})
+        words, rests, counts = (column.tolist() for column in trie.spill(keep))
+        out.update(zip(zip(words, rests), counts))
+        assert len(out) + trie.entries == len(plain)
         assert trie.entries <= keep
     assert out == plain
 

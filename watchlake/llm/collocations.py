@@ -14,6 +14,7 @@ keeps none back.
 """
 
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -105,17 +106,34 @@ class HatTrie:
         keys = np.fromiter(node, np.int64, len(node)) | above
         return [(keys, np.fromiter(node.values(), np.int64, len(node)))]
 
-    def spill(self, keep: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """Whole subtrees, the largest first, until ``keep`` entries are left: (first, rest, counts)."""
-        sizes = sorted(((self._entries_of(node), word) for word, node in self.root.items()), reverse=True)
-        out = []
-        for size, word in sizes:
-            if self.entries <= keep:
-                break
-            parts = self._gather(self.root.pop(word), 0, self.depth - 2)
-            out.append((word, np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])))
-            self.entries -= size
-        return out
+    def spill(self, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whole subtrees, the largest first, until ``keep`` entries are left: columns first, rest, counts."""
+        leaving = list(self.root)
+        if keep:
+            sizes = {word: self._entries_of(node) for word, node in self.root.items()}
+            leaving, left = [], self.entries
+            for word in sorted(sizes, key=sizes.get, reverse=True):
+                if left <= keep:
+                    break
+                leaving.append(word)
+                left -= sizes[word]
+        nodes = [(word, self.root.pop(word)) for word in leaving]
+        # Subtrees that have not burst, nearly all of them, leave together.
+        whole = [(word, node) for word, node in nodes if not isinstance(node, self.Branch)]
+        sizes = np.array([len(node) for _, node in whole], np.int64)
+        size = int(sizes.sum())
+        first = [np.repeat(np.array([word for word, _ in whole], np.int64), sizes)]
+        rest = [np.fromiter(chain.from_iterable(node for _, node in whole), np.int64, size)]
+        counts = [np.fromiter(chain.from_iterable(node.values() for _, node in whole), np.int64, size)]
+        for word, node in nodes:
+            if isinstance(node, self.Branch):
+                for keys, n in self._gather(node, 0, self.depth - 2):
+                    first.append(np.full(len(keys), word, np.int64))
+                    rest.append(keys)
+                    counts.append(n)
+        columns = tuple(map(np.concatenate, (first, rest, counts)))
+        self.entries -= len(columns[0])
+        return columns
 
 
 def _runs(values: np.ndarray):
@@ -202,7 +220,7 @@ class _Numbers(dict):
             if frequent:
                 self.names.append(word)
                 self.hashes.append(h)
-        return np.array(list(map(self.__getitem__, words)), np.int64)
+        return np.fromiter(map(self.get, words), np.int64, len(words))
 
     def forget(self) -> None:
         """Drops what is known of words that are not frequent."""
@@ -273,25 +291,26 @@ def _count_words(batches):
 def _count_phrases(depth: int, words: Bitmap, pairs: Bitmap | None):
     """Pairs of frequent words (depth 2), or phrases of 3 to ``depth`` words of frequent pairs."""
 
-    def runs_of(lang: str, numbers: _Numbers, subtrees):
+    def runs_of(lang: str, numbers: _Numbers, subtrees: tuple[np.ndarray, np.ndarray, np.ndarray]):
         mask = (1 << _ID_BITS) - 1
-        found: dict[int, list[tuple[np.ndarray, ...]]] = {}  # by length: columns of word numbers, and counts
-        for word, rest, n in subtrees:
-            # A shorter phrase counts whatever follows it.
-            for length in range(min(depth, 3), depth + 1):
-                heads, sums = rest, n
-                if length < depth:
-                    heads, at = np.unique(rest >> (_ID_BITS * (depth - length)), return_inverse=True)
-                    sums = np.bincount(at, weights=n, minlength=len(heads)).astype(np.int64)
-                whole = heads & mask != 0
-                heads = heads[whole]
-                further = [(heads >> (_ID_BITS * i)) & mask for i in range(length - 2, -1, -1)]
-                found.setdefault(length, []).append((np.full(len(heads), word), *further, sums[whole]))
+        first, rest, n = subtrees
+        found = []  # by length: columns of word numbers, and counts
+        # A shorter phrase counts whatever follows it.
+        for length in range(min(depth, 3), depth + 1):
+            word, heads, sums = first, rest, n
+            if length < depth:
+                bits = _ID_BITS * (length - 1)
+                packed, at = np.unique((first << bits) | (rest >> (_ID_BITS * (depth - length))), return_inverse=True)
+                word, heads = packed >> bits, packed & ((1 << bits) - 1)
+                sums = np.bincount(at, weights=n, minlength=len(heads)).astype(np.int64)
+            whole = heads & mask != 0
+            heads = heads[whole]
+            further = [(heads >> (_ID_BITS * i)) & mask for i in range(length - 2, -1, -1)]
+            found.append((word[whole], *further, sums[whole]))
         names = pa.array(numbers.names, pa.binary())
         rank = np.empty(len(names), np.int64)
         rank[pc.sort_indices(names).to_numpy()] = np.arange(len(names))
-        for parts in found.values():
-            *words, counts = (np.concatenate(column) for column in zip(*parts))
+        for *words, counts in found:
             order = np.lexsort([rank[column] for column in reversed(words)])
             for i in range(0, len(order), _RUN_ROWS):
                 rows = order[i : i + _RUN_ROWS]
