@@ -110,7 +110,7 @@ def test_a_trie_holds_what_a_dict_holds(monkeypatch):
     assert trie.entries == len(plain)
     for keep in (len(plain) // 2, 0):
         words, rests, counts = (column.tolist() for column in trie.spill(keep))
-        out.update(zip(zip(words, rests), counts))
+        out.update(dict(zip(zip(words, rests), counts)))
         assert len(out) + trie.entries == len(plain)
         assert trie.entries <= keep
     assert out == plain

@@ -29,12 +29,12 @@ LONGEST = 4
 TOP = 2_000
 #: A bitmap's size at most: 64 MB. It takes 16 bits a frequent word or pair, while there are as many.
 MOST_BITS = 1 << 29
-#: Entries of a task's trie, of one container, and words that are counted at a time.
-TRIE_ENTRIES = 1_500_000
+#: Entries of a task's tries, of one container, and words that are counted at a time.
+TRIE_ENTRIES = 1_000_000
 CONTAINER = 4_096
 CHUNK_WORDS = 1_000_000
 _ID_BITS = 21
-_KNOWN = 1_000_000
+_KNOWN = 500_000  # words of all languages that a task looks up without hashing them again
 _RUN_ROWS = 50_000
 _BORDER = b"\xff"  # never part of UTF-8
 
@@ -342,15 +342,18 @@ def _count_phrases(depth: int, words: Bitmap, pairs: Bitmap | None):
         n_waiting = 0
 
         def settle():
+            known = [numbers for numbers, _ in tries.values()]
+            if sum(len(numbers.names) for numbers in known) > _KNOWN:
+                for lang, (numbers, trie) in tries.items():
+                    yield from runs_of(lang, numbers, trie.spill(0))
+                    numbers.reset()
+            elif sum(map(len, known)) > _KNOWN:
+                for numbers in known:
+                    numbers.forget()
             for lang, tokens in waiting.items():
                 if lang not in tries:
                     tries[lang] = _Numbers(lang, words), HatTrie(depth)
                 numbers, trie = tries[lang]
-                if len(numbers.names) > _KNOWN:
-                    yield from runs_of(lang, numbers, trie.spill(0))
-                    numbers.reset()
-                elif len(numbers) > _KNOWN:
-                    numbers.forget()
                 ids = numbers.of(tokens)
                 first, rest = windows(numbers, ids)
                 if depth == 2:
