@@ -94,10 +94,13 @@ def test_split_uses_several_tasks_for_one_session(spark):
     rows = [event(f"e{i:04}", "big") for i in range(300)]
     split = accumulate_state(silver(spark, rows), history="count", hot_rows=30)
     plan = split._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(_group" in plan and "_range" in plan
+    assert "hashpartitioning(_group" in plan and "_segment" in plan
     assert "Cartesian" not in plan and "NestedLoop" not in plan
-    (join,) = [line for line in plan.splitlines() if "Join [_group" in line and "_range" in line]
+    assert "rangepartitioning" not in plan
+    (join,) = [line for line in plan.splitlines() if "Join [_group" in line and "_segment" in line]
     assert "SortMergeJoin" in join
+    windows = [line for line in plan.splitlines() if "Window [" in line and "current_platform" in line]
+    assert len([line for line in windows if "event_time" in line]) == 1
 
 
 def test_count_is_the_length_of_the_array(spark):

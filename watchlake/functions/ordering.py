@@ -26,3 +26,13 @@ def newest_first(*tie_breaks: str, time_column: str | None = None) -> list[Colum
 
 def oldest_first(*tie_breaks: str, time_column: str | None = None) -> list[Column]:
     return [F.asc_nulls_last(k) for k in [*_keys(time_column), *tie_breaks]]
+
+
+def order_key(*tie_breaks: str, time_column: str | None = None) -> Column:
+    """The order of ``oldest_first`` as one value to compare and to take a maximum by.
+
+    Structs compare NULL fields first, so a flag before each field puts them last.
+    """
+    keys = [*_keys(time_column), *tie_breaks]
+    parts = [part for i, k in enumerate(keys) for part in (F.col(k).isNull().alias(f"n{i}"), F.col(k).alias(f"k{i}"))]
+    return F.struct(*parts)
