@@ -556,10 +556,9 @@ def _spooled(spark: SparkSession, folder: str) -> DataFrame:
 
 def quality_counts(spark: SparkSession, folder: str) -> DataFrame:
     checked = validate_contract(_bronze(spark, folder))
-    spool = _spooled(spark, folder)
-    replayed = flag_events(parse_events(envelopes.spool_as_bronze(spool)))
+    replayed = flag_events(parse_events(envelopes.spool_as_bronze(_spooled(spark, folder))))
     counted = quality.quality_counts(parse_events(checked), "violations")
-    return counted.unionByName(quality.recovery_counts(spool, replayed))
+    return counted.unionByName(quality.recovery_counts(replayed))
 
 
 def quality_ledger(spark: SparkSession, folder: str) -> DataFrame:
