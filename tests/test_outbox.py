@@ -131,3 +131,30 @@ def test_an_empty_outbox_sends_nothing(spark, tmp_path):
     assert box.pending().count() == 0 and box.clear() == 0
     with pytest.raises(ValueError):
         box.send(each_record(note_to("/nowhere"), tasks=1), records=0)
+
+
+def test_a_backlog_goes_many_rounds_at_a_time(spark, tmp_path):
+    box, out, calls = Outbox(spark, str(tmp_path / "box")), str(tmp_path / "out"), []
+    box.add(spool(spark, 95))
+
+    def write(rows, first):
+        calls.append(first)
+        if calls == [0, 10]:
+            raise ConnectionError
+        rows.write.mode("append").parquet(out)
+
+    with pytest.raises(ConnectionError):
+        box.send(whole_round(write), records=10)
+    assert box.send(whole_round(write), records=10, rounds=4) == 85
+    assert calls == [0, 10, 10, 50, 90]
+    assert sorted(r.position for r in spark.read.parquet(out).collect()) == list(range(95))
+    with pytest.raises(ValueError):
+        box.send(whole_round(write), records=10, rounds=0)
+
+
+def test_a_failure_in_a_backlog_leaves_what_was_acknowledged(spark, tmp_path):
+    box, notes = Outbox(spark, str(tmp_path / "box")), str(tmp_path / "notes")
+    box.add(spool(spark, 20, key=lambda i: "one"))
+    assert box.send(each_record(note_to(notes, broken={7}), tasks=2), records=5, rounds=3) == 7
+    assert box.send(each_record(note_to(notes), tasks=2), records=5, rounds=3) == 13
+    assert [r[0] for r in noted(notes)] == list(range(20))

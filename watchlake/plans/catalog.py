@@ -538,13 +538,16 @@ def replay(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-# Records of a round in ``replay_resend``.
-_ROUND = 2_000
+# Records of a round in ``replay_resend``, and rounds that one write takes while a backlog is worked off.
+_ROUND, _BACKLOG = 2_000, 500
 
 
 @in_bounded_tasks
 def replay_resend(spark: SparkSession, folder: str) -> DataFrame:
-    """All broker messages spooled, taken into an outbox, and sent in rounds; the sink is down once on the way."""
+    """All broker messages spooled, taken into an outbox, and sent in rounds; the sink is down once on the way.
+
+    It goes down at the second round. What is left by then is a backlog, of which a write takes many rounds.
+    """
     work = new_work_folder(spark, "resend")
     envelopes.spool_lines(_spooled(spark, folder)).write.text(f"{work}/spool")
     outbox = Outbox(spark, f"{work}/outbox")
@@ -555,13 +558,13 @@ def replay_resend(spark: SparkSession, folder: str) -> DataFrame:
         if first and down:
             down.clear()
             raise ConnectionError("the sink is down")
-        rows.withColumn("round", F.lit(first // _ROUND)).write.mode("append").parquet(f"{work}/sent")
+        rows.withColumn("round", F.expr(f"cast(position div {_ROUND} as int)")).write.mode("append").parquet(f"{work}/sent")
 
     try:
         outbox.send(whole_round(write), _ROUND)
     except ConnectionError:
         pass
-    outbox.send(whole_round(write), _ROUND)
+    outbox.send(whole_round(write), _ROUND, _BACKLOG)
     # Appended, not overwritten: a record sent twice would show.
     return spark.read.parquet(f"{work}/sent").select("topic", F.col("key").alias("event_key"), "value", "digest", "position", "round")
 

@@ -171,13 +171,15 @@ class Outbox:
             return rows
         return rows.join(self._acks(manifest).where("error IS NULL").select("position"), "position", "left_anti")
 
-    def send(self, deliver: Deliver, records: int) -> int:
+    def send(self, deliver: Deliver, records: int, rounds: int = 1) -> int:
         """Sends what is not acknowledged, ``records`` at a time; how many were acknowledged now.
 
+        ``rounds`` such rounds, at most, go to ``deliver`` together, so that a long backlog takes no jobs
+        of its own for each round; they are acknowledged, or tried again, like one round of their size.
         Stops after the first round with a failure; what ``deliver`` itself raises is passed on, with
         nothing of that round acknowledged. The next call goes on from there.
         """
-        if records < 1:
+        if records < 1 or rounds < 1:
             raise ValueError("a round holds at least one record")
         sent = 0
         while True:
@@ -185,7 +187,7 @@ class Outbox:
             low, added = manifest.settings.get("done", 0), manifest.settings.get("added", 0)
             if low >= added:
                 return sent
-            high = manifest.settings.get("round_end", 0) or min(low + records, added)
+            high = manifest.settings.get("round_end", 0) or min(low + records * rounds, added)
             token = versions.new_token()
             deliver(self._left(manifest, low, high).select(*_SENT), low).write.parquet(f"{self.path}/acks/v={token}")
             outcome = self.spark.read.schema(_ACKS).parquet(f"{self.path}/acks/v={token}")
