@@ -197,3 +197,31 @@ def test_a_small_share_is_not_none(spark):
     """The whole hash is compared, so shares below a millionth still choose rows."""
     ids = spark.range(4_000_000).select((F.xxhash64("id").cast("double") < (2e-6 - 0.5) * 2.0**64).alias("in"))
     assert 0 < ids.where("in").count() < 40
+
+
+def test_all_labelled_documents_are_learned_from(spark):
+    labels = spark.range(25_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    docs = labels.select("doc_id", F.col("doc_id").cast("string").alias("text"))
+    assert T.labelled_sample(docs, labels, F.lit(True)).count() == 25_000
+
+
+def test_sums_of_parts_give_the_same_coefficients():
+    draw = np.random.default_rng(2)
+    x, y, n = draw.normal(size=(60, 3)), (draw.random(60) < 0.3).astype(float), draw.integers(1, 5, 60).astype(float)
+
+    def sums(beta):
+        parts = [T.slope_and_curve(beta, x[i::4], y[i::4], n[i::4]) for i in range(4)]
+        return sum(p[0] for p in parts), sum(p[1] for p in parts)
+
+    assert np.allclose(T.newton(sums, 3), T.logistic(x, y, n), atol=1e-9)
+
+
+def test_counts_do_not_depend_on_how_often_a_task_adds_them(spark, monkeypatch):
+    docs, labels = corpus()
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    whole = T.fit(*frames)
+    monkeypatch.setattr(T, "_CACHE", 40)
+    monkeypatch.setattr(T, "_FOUND", 100)
+    parts = T.fit(*frames)
+    assert parts.decoder.trigrams == whole.decoder.trigrams and parts.weights == whole.weights and whole.weights
+    assert np.allclose(parts.coefficients, whole.coefficients)

@@ -6,13 +6,15 @@ for nothing. A Viterbi search takes the path that a character language model and
 the channel's costs like best. The restored words give evidence features, and a
 logistic regression turns the evidence of a document into a score.
 
-The language model, the features and the regression are learned from a bounded
-sample of labelled documents (``SAMPLE_ROWS``); scores cover every whole text.
+The language model, the features and the regression are learned from all labelled
+documents, whose counts and sums tasks add up; scores cover every whole text.
 """
 
 import math
 import os
 import re
+from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,13 +22,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from watchlake.llm.common import fold_of, free_name, saved
+from watchlake.operators.sizing import broadcast_if_small
 
-SAMPLE_ROWS = 20_000
 TRIGRAMS = 20_000
 FEATURES = 4_096
 MIN_EVIDENCE = 20.0
 THRESHOLD = 0.7
 _CACHE = 400_000
+# Features found that a task holds before it adds them to its counts.
+_FOUND = 2_000_000
+# Parts in which distinct evidence is kept for the regression.
+_PARTS = 64
 _PREFIXES = (4, 5, 6, 7, 8)
 # Longer words are not kept in the cache, and teach no trigrams.
 _LONGEST = 40
@@ -318,13 +324,25 @@ class ToxicityModel:
 
 def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, penalty: float = 1.0, steps: int = 50) -> np.ndarray:
     """Coefficients of a penalized logistic regression by Newton steps, intercept first; row i counts n[i] times."""
+    return newton(lambda beta: slope_and_curve(beta, x, y, n), x.shape[1], penalty, steps)
+
+
+def slope_and_curve(beta: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What rows add to the first and, negated, the second derivative of the log likelihood."""
     design = np.column_stack([np.ones(len(x)), x])
-    ridge = np.diag([1e-3] + [penalty] * x.shape[1])
-    beta = np.zeros(design.shape[1])
+    p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
+    return design.T @ (n * (y - p)), (design * (n * p * (1 - p))[:, None]).T @ design
+
+
+def newton(
+    sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], width: int, penalty: float = 1.0, steps: int = 50
+) -> np.ndarray:
+    """The coefficients by Newton steps over the ``sums`` of ``slope_and_curve`` of all rows, wherever those are."""
+    ridge = np.diag([1e-3] + [penalty] * width)
+    beta = np.zeros(width + 1)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        slope = design.T @ (n * (y - p)) - ridge @ beta
-        curve = (design * (n * p * (1 - p))[:, None]).T @ design + ridge
+        slope, curve = sums(beta)
+        slope, curve = slope - ridge @ beta, curve + ridge
         step = np.linalg.solve(curve, slope)
         beta += step / max(1.0, float(np.abs(step).max()))
         if np.abs(step).max() < 1e-8:
@@ -332,8 +350,8 @@ def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, penalty: float = 1.0,
     return beta
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(text, toxic) of about ``rows`` labelled documents at most, chosen by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, rows: int | None = None) -> DataFrame:
+    """(text, toxic) of all labelled documents; of about ``rows`` at most, chosen by a hash of the id, if that is given.
 
     A document labelled more than once is toxic if one label says so. Texts that
     repeat count once, so copies do not outvote other documents.
@@ -345,13 +363,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, rows: int
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
     )
-    share = min(1.0, rows / max(1, known.count()))
-    # The whole hash is compared: a share may be as small as it likes.
-    chosen = known.where(F.lit(share == 1.0) | (F.xxhash64("doc_id").cast("double") < (share - 0.5) * 2.0**64))
+    if rows is not None:
+        share = min(1.0, rows / max(1, known.count()))
+        # The whole hash is compared: a share may be as small as it likes.
+        known = known.where(F.lit(share == 1.0) | (F.xxhash64("doc_id").cast("double") < (share - 0.5) * 2.0**64))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return (
-        # At most ``rows`` pairs of an id and a label, in expectation; bounded by the sample.
-        text.join(F.broadcast(chosen), "doc_id")
+        text.join(broadcast_if_small(known), "doc_id")
         .groupBy(F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"))
         .agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
         .select("text", "toxic")
@@ -363,60 +381,94 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Toxi
 
     With no usable labels, or one class only, every score is the share of toxic ones.
     """
-    sample = saved(labelled_sample(docs, labels, F.lit(True) if learn is None else learn), "toxicity-sample")
+    known = saved(labelled_sample(docs, labels, F.lit(True) if learn is None else learn), "toxicity-labelled")
 
     def trigrams(batches):
-        for batch in batches:
+        texts_with: Counter[str] = Counter()
+
+        def counted():
             counts: dict[str, int] = {}
-            for text in batch.column(0).to_pylist():
-                for word in set(text.lower().split()):
-                    word = word.strip(".,;:?!\"'()")
-                    if len(word) <= _LONGEST and is_plain(word):
-                        signs = "^^" + word + "$"
-                        for i in range(len(word) + 1):
-                            counts[signs[i : i + 3]] = counts.get(signs[i : i + 3], 0) + 1
-            yield pa.RecordBatch.from_arrays(
+            for word, n in texts_with.items():
+                word = word.strip(".,;:?!\"'()")
+                if len(word) <= _LONGEST and is_plain(word):
+                    signs = "^^" + word + "$"
+                    for i in range(len(word) + 1):
+                        counts[signs[i : i + 3]] = counts.get(signs[i : i + 3], 0) + n
+            texts_with.clear()
+            return pa.RecordBatch.from_arrays(
                 [pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["k", "n"]
             )
 
-    totals = sample.select("text").mapInArrow(trigrams, "k string, n long").groupBy("k").agg(F.sum("n").alias("n"))
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                texts_with.update(set(text.lower().split()))
+                if len(texts_with) >= _CACHE:
+                    yield counted()
+        yield counted()
+
+    totals = known.select("text").mapInArrow(trigrams, "k string, n long").groupBy("k").agg(F.sum("n").alias("n"))
     common = totals.orderBy(F.desc("n"), "k").limit(TRIGRAMS).collect()
     decoder = Decoder({r.k: r.n for r in common})
 
     def features(batches):
         cache: dict[str, tuple[str, ...]] = {}
+        # Features by number, those of a word, and how many clean and toxic texts have each.
+        numbers: dict[str, int] = {}
+        of_word: dict[str, tuple[int, ...]] = {}
+        counts, found = np.zeros((2, 0), np.int64), ([], [])
+
+        def add():
+            nonlocal counts
+            counts = np.pad(counts, ((0, 0), (0, len(numbers) - counts.shape[1])))
+            for of_class, own in zip(counts, found):
+                of_class += np.bincount(np.array(own, np.int64), minlength=len(numbers))
+                own.clear()
+
+        def counted():
+            nonlocal counts
+            add()
+            out = [pa.array(numbers.keys(), pa.string()), pa.array(counts[0]), pa.array(counts[1])]
+            numbers.clear()
+            of_word.clear()
+            counts = np.zeros((2, 0), np.int64)
+            return pa.RecordBatch.from_arrays(out, ["f", "clean", "toxic"])
+
         for batch in batches:
-            counts: dict[str, list[int]] = {}
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for feature in {f for w in restored_words(decoder, text, cache) for f in features_of(w)}:
-                    counts.setdefault(feature, [0, 0])[toxic] += 1
-            clean, toxic = [c[0] for c in counts.values()], [c[1] for c in counts.values()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(counts.keys(), pa.string()), pa.array(clean, pa.int64()), pa.array(toxic, pa.int64())],
-                ["f", "clean", "toxic"],
-            )
-
-    classes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
+                of_text: set[int] = set()
+                for word in restored_words(decoder, text, cache):
+                    own = of_word.get(word)
+                    if own is None:
+                        own = of_word[word] = tuple(numbers.setdefault(f, len(numbers)) for f in features_of(word))
+                    of_text.update(own)
+                found[toxic].extend(of_text)
+                if len(numbers) >= _CACHE:
+                    yield counted()
+                elif len(found[0]) + len(found[1]) >= _FOUND:
+                    add()
+        yield counted()
+
+    classes = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     n_clean, n_toxic = classes.get(0, 0), classes.get(1, 0)
     prior = (n_toxic + 0.5) / (n_clean + n_toxic + 1)
     flat = ToxicityModel(decoder, {}, np.zeros(4), np.ones(4), np.array([math.log(prior / (1 - prior)), 0, 0, 0, 0]))
     if not n_clean or not n_toxic:
         return flat
     seen = (
-        sample.mapInArrow(features, "f string, clean long, toxic long")
+        known.mapInArrow(features, "f string, clean long, toxic long")
         .groupBy("f")
         .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
         .where(F.col("toxic") >= 3)
     )
     both = F.col("clean") + F.col("toxic")
     due_toxic, due_clean = both * n_toxic / (n_clean + n_toxic), both * n_clean / (n_clean + n_toxic)
-    evidence = 2 * (
+    gain = 2 * (
         F.col("toxic") * F.log(F.col("toxic") / due_toxic)
         + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / due_clean)).otherwise(0.0)
     )
     odds = F.log(((F.col("toxic") + 0.1) / (n_toxic + 0.2)) / ((F.col("clean") + 0.1) / (n_clean + 0.2)))
     best = (
-        seen.select("f", evidence.alias("g"), odds.alias("w"))
+        seen.select("f", gain.alias("g"), odds.alias("w"))
         .where((F.col("g") >= MIN_EVIDENCE) & (F.col("w") >= math.log(4)))
         .orderBy(F.desc("g"), "f")
         .limit(FEATURES)
@@ -431,13 +483,31 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Toxi
             columns = [pa.array(x[:, i].copy()) for i in range(4)]
             yield pa.RecordBatch.from_arrays([*columns, batch.column(1)], ["a", "b", "c", "d", "y"])
 
-    # Most documents have no evidence; equal rows are counted before they are collected.
-    alike = sample.mapInArrow(gathered, "a double, b double, c double, d double, y int").groupBy("a", "b", "c", "d", "y")
-    values = np.array(sorted(tuple(r) for r in alike.agg(F.count(F.lit(1)).alias("n")).collect()), float)
-    x, y, n = values[:, :4], values[:, 4], values[:, 5]
-    model.center = np.average(x, axis=0, weights=n)
-    model.scale = np.sqrt(np.average((x - model.center) ** 2, axis=0, weights=n)) + 1e-9
-    model.coefficients = logistic((x - model.center) / model.scale, y, n)
+    # Most documents have no evidence; equal rows are counted once. What has any stays in the tasks.
+    columns = ["a", "b", "c", "d", "y"]
+    alike = known.mapInArrow(gathered, "a double, b double, c double, d double, y int").groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+    evidence = saved(alike.repartition(_PARTS, *columns).sortWithinPartitions(*columns), "toxicity-evidence")
+
+    def summed(terms: Callable[[np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]]) -> np.ndarray:
+        """Sums over all rows of what ``terms`` gives for some; equal in whatever order the batches come."""
+
+        def run(batches):
+            for batch in batches:
+                values = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+                parts = np.concatenate([np.ravel(t) for t in terms(values[:, :4], values[:, 4], values[:, 5])])
+                yield pa.RecordBatch.from_arrays([pa.array([parts.tolist()], pa.list_(pa.float64()))], ["v"])
+
+        return np.array([math.fsum(column) for column in zip(*(r.v for r in evidence.mapInArrow(run, "v array<double>").collect()))])
+
+    sums = summed(lambda x, y, n: [n.sum(), n @ x])
+    model.center = center = sums[1:] / sums[0]
+    model.scale = scale = np.sqrt(summed(lambda x, y, n: [n @ (x - center) ** 2]) / sums[0]) + 1e-9
+
+    def slope_and_curve_of_all(beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        both = summed(lambda x, y, n: [*slope_and_curve(beta, (x - center) / scale, y, n)])
+        return both[:5], both[5:].reshape(5, 5)
+
+    model.coefficients = newton(slope_and_curve_of_all, 4)
     return model
 
 
