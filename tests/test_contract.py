@@ -89,3 +89,20 @@ def test_filter_on_violations_does_not_repeat_the_parse(spark):
 def test_error_text(spark):
     df = spark.createDataFrame([(["a", "b"],)], "violations ARRAY<STRING>")
     assert df.select(error_text().alias("e")).first().e == "a; b"
+
+
+def test_no_step_of_the_check_is_left_to_the_interpreter(spark, tmp_path):
+    spark.createDataFrame([("{}",)], "raw_value string").write.parquet(str(tmp_path / "rows"))
+    debug = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for rules in ("json_schema", "full"):
+            checked = validate_contract(spark.read.parquet(str(tmp_path / "rows")), rules)
+            plan = checked._jdf.queryExecution().executedPlan()
+            compiled = debug.codegenStringSeq(plan)
+            # The step that parses is the only one with an expression that Spark does not compile.
+            assert [line for line in plan.toString().splitlines() if "Generate inline" in line and "*(" not in line.split("Generate")[0] and "from_json" not in line] == []
+            # The JVM interprets methods of over 8,000 bytes.
+            assert compiled.size() and max(compiled.apply(i)._3().maxMethodCodeSize() for i in range(compiled.size())) <= 8_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")

@@ -123,7 +123,7 @@ def violation_codes(kinds: str, values: str, keys: str, rules: str) -> list[Colu
 
     unknown = F.array_except(F.col(keys), F.array(*[F.lit(n) for n in CONTRACT]))
     add(
-        F.concat(F.lit("unknown:"), F.array_join(F.array_sort(unknown), ",")),
+        F.concat(F.lit("unknown:"), F.array_join(F.sort_array(unknown), ",")),
         F.size(unknown) > 0,
     )
 
