@@ -225,3 +225,26 @@ def test_counts_do_not_depend_on_how_often_a_task_adds_them(spark, monkeypatch):
     parts = T.fit(*frames)
     assert parts.decoder.trigrams == whole.decoder.trigrams and parts.weights == whole.weights and whole.weights
     assert np.allclose(parts.coefficients, whole.coefficients)
+
+
+def test_known_words_are_asked_once():
+    model = T.ToxicityModel(T.Decoder({}), {"grumbol": 3.0}, np.zeros(4), np.ones(4), np.zeros(5))
+    asked = []
+    reach = model._reach.word
+    model._reach.word = lambda word: asked.append(word) or reach(word)
+    assert not model.speaks(["the", "cat"]) and not model.speaks(["cat", "the", "the"])
+    assert model.speaks(["gr\u0075mbol"]) and model.speaks(["the", "grumbol", "cat"])
+    assert sorted(asked) == ["cat", "grumbol", "the"]
+
+
+def test_rows_of_single_signs():
+    rng = random.Random(4)
+    for _ in range(300):
+        words = ["".join(rng.choice("ab") for _ in range(rng.choice([1, 1, 2]))) for _ in range(rng.randrange(12))]
+        runs, run = [], []
+        for word in [*words, ""]:
+            if len(word) == 1:
+                run.append(word)
+                continue
+            runs, run = runs + [run] * (len(run) >= 3 and len(set(run)) > 1), []
+        assert T.spaced_rows(words) == runs

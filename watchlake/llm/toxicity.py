@@ -14,7 +14,7 @@ import math
 import os
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -38,6 +38,7 @@ _PREFIXES = (4, 5, 6, 7, 8)
 _LONGEST = 40
 _BEAM = 24
 _REPEATED = re.compile(r"(.)\1\1+", re.DOTALL)
+_DOUBLED = re.compile(r"(.)\1", re.DOTALL)
 
 # The letters a sign may stand for.
 LEET = {
@@ -86,6 +87,7 @@ class Decoder:
         inner_from = next((i for i, c in enumerate(token) if c.isalnum()), len(token))
         inner_to = next((i for i in range(len(token), 0, -1) if token[i - 1].isalnum()), 0)
         paths, settled = {("^", "^"): (0.0, "")}, []
+        known = self._cost
         for i, sign in enumerate(token):
             inside = signs_speak or inner_from <= i < inner_to
             options = []
@@ -99,11 +101,17 @@ class Decoder:
             ahead = {}
             for (a, b), (total, text) in paths.items():
                 for letter, extra in options:
-                    place = (b, letter) if letter else (a, b)
-                    value = total + extra + (self.cost(a, b, letter) if letter else 0.0)
-                    if place not in ahead or value < ahead[place][0]:
+                    value = total + extra
+                    if letter:
+                        place = (b, letter)
+                        cost = known.get(a + b + letter)
+                        value += self.cost(a, b, letter) if cost is None else cost
+                    else:
+                        place = (a, b)
+                    best = ahead.get(place)
+                    if best is None or value < best[0]:
                         ahead[place] = (value, text + letter)
-            paths = dict(sorted(ahead.items(), key=lambda p: (p[1], p[0]))[:_BEAM])
+            paths = ahead if len(ahead) == 1 else dict(sorted(ahead.items(), key=lambda p: (p[1], p[0]))[:_BEAM])
             if i % 32 == 31:
                 # What all paths have in common is settled; long tokens take linear time.
                 common = os.path.commonprefix([text for _, text in paths.values()])
@@ -158,7 +166,7 @@ class Decoder:
 
 def is_plain(word: str) -> bool:
     """Whether a word is letters only, without a letter three times in a row."""
-    return word.isalpha() and not any(a == b == c for a, b, c in zip(word, word[1:], word[2:]))
+    return word.isalpha() and not _REPEATED.search(word)
 
 
 def _core(word: str) -> str:
@@ -178,7 +186,7 @@ def restored_word(decoder: Decoder, word: str) -> str:
 def readings(decoder: Decoder, word: str) -> tuple[str, ...]:
     """A word restored, and what it may disguise where it is plain: doubled letters, digits alone."""
     plain = restored_word(decoder, word)
-    if len(set(plain)) > 1 and (plain.isdigit() or is_plain(plain) and any(a == b for a, b in zip(plain, plain[1:]))):
+    if len(set(plain)) > 1 and (plain.isdigit() or is_plain(plain) and _DOUBLED.search(plain)):
         other = decoder.restore(_REPEATED.sub(r"\1\1", plain))
         return (plain, other) if other != plain else (plain,)
     return (plain,)
@@ -189,25 +197,40 @@ def restored_words(decoder: Decoder, text: str | None, cache: dict) -> set[str]:
     words = (text or "").lower().split()
     out = set()
     for word in set(words):
-        read = cache.get(word)
-        if read is None:
-            read = readings(decoder, word)
-            if len(cache) >= _CACHE:
-                cache.clear()
-            if len(word) <= _LONGEST:
-                cache[word] = read
-        out.update(read)
-    for row in spaced_rows(words):
-        for bonus in BORDER_BONUSES:
-            out.update(decoder.spelled(row, bonus))
+        out.update(known_readings(decoder, word, cache))
+    out.update(spelled_words(decoder, words))
     out.discard("")
     return out
 
 
+def known_readings(decoder: Decoder, word: str, cache: dict) -> tuple[str, ...]:
+    """The ``readings`` of a word, from ``cache`` where it has them."""
+    read = cache.get(word)
+    if read is None:
+        read = readings(decoder, word)
+        if len(cache) >= _CACHE:
+            cache.clear()
+        if len(word) <= _LONGEST:
+            cache[word] = read
+    return read
+
+
+def spelled_words(decoder: Decoder, words: list[str]) -> set[str]:
+    """The words that rows of single signs spell."""
+    return {word for row in spaced_rows(words) for bonus in BORDER_BONUSES for word in decoder.spelled(row, bonus)}
+
+
+def _places_of_one_sign(words: list[str]) -> Iterator[int]:
+    lengths, place = list(map(len, words)), -1
+    for _ in range(lengths.count(1)):
+        place = lengths.index(1, place + 1)
+        yield place
+
+
 def spaced_rows(words: list[str]) -> list[list[str]]:
     """Three or more words of one sign in a row, unless all alike."""
     rows, last = [], -2
-    for place in (i for i, word in enumerate(words) if len(word) == 1):
+    for place in _places_of_one_sign(words):
         if place == last + 1:
             rows[-1].append(words[place])
         else:
@@ -278,19 +301,21 @@ class ToxicityModel:
     coefficients: np.ndarray
 
     def __post_init__(self):
-        self._reach, self._speaks = Reach(self.weights), {}
+        self._reach, self._silent, self._loud = Reach(self.weights), set(), set()
 
     def speaks(self, words: list[str]) -> bool:
         """Whether any word, or row of single signs, may be read as one with a weight."""
-        if len(self._speaks) >= _CACHE:
-            self._speaks.clear()
-        known = self._speaks
-        for word in set(words):
-            may = known.get(word)
-            if may is None:
-                may = self._reach.word(word)
-                if len(word) <= _LONGEST:
-                    known[word] = may
+        if len(self._silent) + len(self._loud) >= _CACHE:
+            self._silent.clear()
+            self._loud.clear()
+        # Most words are known to be silent: sets take them out at once.
+        fresh = set(words) - self._silent
+        if not fresh.isdisjoint(self._loud):
+            return True
+        for word in fresh:
+            may = self._reach.word(word)
+            if len(word) <= _LONGEST:
+                (self._loud if may else self._silent).add(word)
             if may:
                 return True
         return any(map(self._reach.spelled, spaced_rows(words)))
@@ -417,6 +442,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Toxi
         of_word: dict[str, tuple[int, ...]] = {}
         counts, found = np.zeros((2, 0), np.int64), ([], [])
 
+        def numbered(words) -> tuple[int, ...]:
+            return tuple(numbers.setdefault(f, len(numbers)) for word in words if word for f in features_of(word))
+
         def add():
             nonlocal counts
             counts = np.pad(counts, ((0, 0), (0, len(numbers) - counts.shape[1])))
@@ -436,11 +464,17 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Toxi
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 of_text: set[int] = set()
-                for word in restored_words(decoder, text, cache):
+                words = text.lower().split()
+                for word in set(words):
                     own = of_word.get(word)
                     if own is None:
-                        own = of_word[word] = tuple(numbers.setdefault(f, len(numbers)) for f in features_of(word))
+                        own = numbered(known_readings(decoder, word, cache))
+                        if len(of_word) >= _CACHE:
+                            of_word.clear()
+                        if len(word) <= _LONGEST:
+                            of_word[word] = own
                     of_text.update(own)
+                of_text.update(numbered(spelled_words(decoder, words)))
                 found[toxic].extend(of_text)
                 if len(numbers) >= _CACHE:
                     yield counted()
