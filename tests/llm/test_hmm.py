@@ -115,3 +115,15 @@ def test_probabilities_add_up(spark):
 
 def test_empty_table(spark):
     assert H.score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_words_are_looked_up_once_for_all_rounds(spark, monkeypatch):
+    texts = spark.createDataFrame([("a b b c", True), ("", True), ("a c c\u00e9", True), ("zz", False)], "text string, learn boolean")
+    tables = []
+    monkeypatch.setattr(H, "saved", lambda rows, purpose: tables.append((purpose, rows.localCheckpoint())) or tables[-1][1])
+    model = H.fit(texts, states=2, rounds=3, head=10, symbols=2)
+    assert [purpose for purpose, _ in tables] == ["hmm-words", "hmm-symbols"]
+    stored = sorted(r.symbols for r in tables[1][1].collect())
+    kind = H._stored_type(model.head.end)
+    assert stored == sorted(model.head.symbols(H.words_of(t))[0].astype(kind).tobytes() for t in ["a b b c", "", "a c c\u00e9"])
+    assert [H._stored_type(n) for n in (255, 256, 65_535, 65_536)] == ["u1", "<u2", "<u2", "<u4"]

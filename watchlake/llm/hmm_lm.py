@@ -7,7 +7,8 @@ symbols times a factor for each rare word, and no word is left out of the model.
 
 Baum-Welch: each task runs forward and backward over windows of its training texts
 and returns expected counts; Spark adds them up over the partitions, and the driver
-renormalizes a table of bounded size. All training text takes part in every round.
+renormalizes a table of bounded size. All training text takes part in every round;
+its words are looked up once, and the rounds read their symbols.
 Scores are exact: one scaled forward recursion over each whole text, its end included.
 
 Counts come from the whole corpus. Words among the ``HEAD`` most frequent are looked
@@ -18,6 +19,7 @@ are summed up for each text and joined with the vocabulary.
 import hashlib
 import math
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -145,11 +147,11 @@ class Head:
     def symbols(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(symbol of each word and the end, rank of each word or -1)."""
         find = self.words.get
-        ranks = np.fromiter((find(w, -1) for w in words), np.int64, len(words))
+        ranks = np.fromiter(map(find, words, repeat(-1)), np.int64, len(words))
         symbols = np.append(ranks, self.end)
         rare = np.flatnonzero((ranks < 0) | (ranks >= self.n_symbols))
         if len(rare):
-            lengths = np.fromiter((len(words[i]) for i in rare.tolist()), np.int64, len(rare))
+            lengths = np.fromiter(map(len, map(words.__getitem__, rare.tolist())), np.int64, len(rare))
             symbols[rare] = self.n_symbols + np.minimum((lengths - 1) // 2, RARE_CLASSES - 1)
         return symbols, ranks
 
@@ -215,18 +217,38 @@ def _windows(symbols: list[np.ndarray]):
         i += rows
 
 
-def baum_welch_round(texts: DataFrame, head: Head, hmm: Hmm) -> tuple[Hmm, float]:
-    """One round over all texts of (text): the next model, and the log likelihood of this one."""
-    held = texts.sparkSession.sparkContext.broadcast((head, hmm))
+def _stored_type(end: int) -> np.dtype:
+    """The narrowest integers that hold symbols up to ``end``."""
+    return np.min_scalar_type(end).newbyteorder("<")
+
+
+def encoded(texts: DataFrame, head: Head) -> DataFrame:
+    """(symbols binary) of all texts of (text): each text's symbols, its end included."""
+    held = texts.sparkSession.sparkContext.broadcast(head)
+
+    def run(batches):
+        kind = _stored_type(held.value.end)
+        for batch in batches:
+            # Texts are looked up and let go one by one.
+            rows = (held.value.symbols(words_of(t.as_py()))[0].astype(kind).tobytes() for t in batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["symbols"])
+
+    return texts.select("text").mapInArrow(run, "symbols binary")
+
+
+def baum_welch_round(texts: DataFrame, hmm: Hmm) -> tuple[Hmm, float]:
+    """One round over all texts of (symbols): the next model, and the log likelihood of this one."""
+    held = texts.sparkSession.sparkContext.broadcast(hmm)
     states = len(hmm.initial)
     names = [f"s{i}" for i in range(states)]
 
     def run(batches):
-        known, model = held.value
+        model = held.value
+        kind = _stored_type(model.end)
         initial, moves = np.zeros(states), np.zeros((states, states))
         emitted, log = np.zeros((states, model.end + 1)), 0.0
         for batch in batches:
-            symbols = [known.symbols(words_of(t))[0] for t in batch.column(0).to_pylist()]
+            symbols = [np.frombuffer(t, kind) for t in batch.column(0).to_pylist()]
             for padded, lengths in _windows(symbols):
                 a, b, c, d = expected_counts(model, padded, lengths)
                 initial += a
@@ -242,7 +264,7 @@ def baum_welch_round(texts: DataFrame, head: Head, hmm: Hmm) -> tuple[Hmm, float
         )
 
     schema = "key long, " + ", ".join(f"{n} double" for n in names)
-    sums = texts.select("text").mapInArrow(run, schema).groupBy("key").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
+    sums = texts.mapInArrow(run, schema).groupBy("key").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
     table = np.zeros((2 + states + model_size(hmm), states))
     # Sums of doubles depend on the order of tasks in the last digits only.
     table[sums["key"].to_numpy()] = np.column_stack([sums[n].to_numpy() for n in names])
@@ -280,8 +302,9 @@ def fit(
     known = head_of(words, n_texts, head, symbols)
     rare = np.maximum(0, 10**known.rare_log10 - 1)
     hmm, likelihoods = first_guess(known, rare, n_texts, states), []
+    symbols_of = saved(encoded(learned, known), "hmm-symbols") if n_texts and rounds else None
     for _ in range(rounds if n_texts else 0):
-        hmm, log = baum_welch_round(learned, known, hmm)
+        hmm, log = baum_welch_round(symbols_of, hmm)
         likelihoods.append(log)
     return LanguageModel(known, hmm, words, likelihoods)
 
