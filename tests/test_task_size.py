@@ -33,6 +33,25 @@ def test_jobs_of_a_query_are_bounded_in_a_session_of_larger_tasks(spark):
             spark.conf.set(key, own)
 
 
+def test_shuffles_of_a_query_grow_with_the_events(spark, tmp_path, monkeypatch):
+    spark.range(0, 1001, 1, 1).select(F.col("id").alias("event_id")).write.parquet(f"{tmp_path}/events.parquet")
+    key, initial = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = spark.conf.get(key)
+    seen = catalog._in_bounded_tasks(lambda spark, folder: (spark.conf.get(key), spark.conf.get(initial, None)))
+    assert seen(spark, str(tmp_path)) == (before, None)
+    monkeypatch.setattr(catalog, "_TASK_EVENTS", 10)
+    assert seen(spark, str(tmp_path)) == ("101", None)
+    try:
+        spark.conf.set(initial, "7")
+        assert seen(spark, str(tmp_path)) == ("101", "101")
+        spark.conf.set(key, "500")
+        assert seen(spark, str(tmp_path)) == ("500", "101")
+        assert (spark.conf.get(key), spark.conf.get(initial)) == ("500", "7")
+    finally:
+        spark.conf.set(key, before)
+        spark.conf.unset(initial)
+
+
 @pytest.mark.parametrize("text, size", [("134217728b", 128 << 20), ("64MB", 64 << 20), ("16m", 16 << 20), ("7", 7), ("1 gib", 1 << 30)])
 def test_sizes_are_read(text, size):
     assert session._size(text) == size
