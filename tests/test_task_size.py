@@ -17,6 +17,28 @@ def test_events_are_dealt_to_more_tasks_as_they_grow(spark, tmp_path):
     assert events.select(F.count("event_id"), F.sum("event_id")).first() == (rows, rows * (rows - 1) // 2)
 
 
+def _exchanges(rows):
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.split("== Initial Plan ==")[-1].splitlines() if "Exchange" in line]
+
+
+@pytest.mark.parametrize("plain, exchanges", [(200, 1), (5, 2)])
+def test_dealing_a_large_row_group_sorts_nothing_and_loses_nothing(spark, tmp_path, monkeypatch, plain, exchanges):
+    monkeypatch.setattr(catalog, "_TASK_EVENTS", 1000)
+    monkeypatch.setattr(catalog, "_PLAIN_PARTS", plain)
+    kept = F.when(F.col("id") % 5 > 0, F.col("id") % 100).alias("event_id")
+    spark.range(0, 20_000, 1, 1).select(kept).write.parquet(f"{tmp_path}/events.parquet")
+    events = catalog._events(spark, str(tmp_path))
+    found = _exchanges(events)
+    # Dealing in turn sorts a task's whole input, without a step of its own in the plan.
+    assert len(found) == exchanges and all("hashpartitioning" in line for line in found)
+    sizes = events.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    assert len(sizes) == 20 and sum(sizes) == 20_000 and max(sizes) < 1300
+    assert sorted(events.groupBy("event_id").count().collect(), key=str) == sorted(
+        spark.read.parquet(f"{tmp_path}/events.parquet").groupBy("event_id").count().collect(), key=str
+    )
+
+
 def test_jobs_of_a_query_are_bounded_in_a_session_of_larger_tasks(spark):
     before = {key: spark.conf.get(key) for key in _KEYS}
     try:

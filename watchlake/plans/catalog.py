@@ -64,11 +64,28 @@ def _in_bounded_tasks(query: Callable) -> Callable:
     return in_bounded_tasks(query, _event_tasks)
 
 
+# A shuffle into more parts than these keeps what a task sends in memory; up to them, rows go straight to a file a part.
+_PLAIN_PARTS = 200
+
+
+def _dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """``rows`` spread evenly over ``parts`` tasks, however many of them a row group holds.
+
+    They go by the hash of a number that follows from their place in the file. Dealing them in turn would sort all that
+    a task reads first, in memory, and a row group is read by one task.
+    """
+    rows = rows.withColumn("_number", F.monotonically_increasing_id())
+    if parts > _PLAIN_PARTS:
+        # Another hash on the way keeps this step apart from the next one.
+        rows = rows.repartition(_PLAIN_PARTS, "_number").withColumn("_number", F.xxhash64("_number"))
+    return rows.repartition(parts, "_number").drop("_number")
+
+
 def _events(spark: SparkSession, folder: str) -> DataFrame:
-    """The events table, spread over the cores and over tasks of bounded rows, however few splits it is stored in."""
+    """The events table, spread over the cores and over tasks of bounded rows, however it is stored."""
     events = spark.read.parquet(f"{folder}/events.parquet")
-    tasks = max(spark.sparkContext.defaultParallelism, _event_tasks(spark, folder))
-    return events if events.rdd.getNumPartitions() >= tasks else events.repartition(tasks)
+    # Splits say nothing of rows: a row group lies in one of them, whatever its size.
+    return _dealt(events, max(spark.sparkContext.defaultParallelism, _event_tasks(spark, folder)))
 
 
 def _silver(spark: SparkSession, folder: str) -> DataFrame:
