@@ -1,5 +1,6 @@
 """Packing: an exact round trip of every token, and how full the sequences are."""
 
+import gc
 import random
 import zlib
 
@@ -34,6 +35,29 @@ def test_ids_equal_those_of_whole_texts(tokenizer):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_words_are_learned_as_one_text_of_words(tokenizer):
+    encoder = P.Encoder(PATH)
+    known = {}
+    words = ["the", "'s", "x'll", "été,", "9.99", "a\u00a0b", "日本", "<|endoftext|>", "\u0120q", "co-op."]
+    assert encoder._learn_words(words, known)
+    for word in words:
+        assert np.frombuffer(known[word], "<u4").tolist() == tokenizer.encode(" " + word, add_special_tokens=False).ids
+    # A space inside would part a chunk: nothing is kept.
+    assert not encoder._learn_words(["a b", "c"], known) and "c" not in known
+
+
+def test_no_search_for_cycles_while_texts_are_encoded():
+    encoder, seen = P.Encoder(PATH), []
+    learn = encoder._learn
+    encoder._learn = lambda fresh, known: (seen.append(gc.isenabled()), learn(fresh, known))
+    assert gc.isenabled()
+    encoder.encode(TEXTS)
+    assert seen == [False] and gc.isenabled()
+    with pytest.raises(AttributeError):
+        encoder.encode([7])
+    assert gc.isenabled()
+
+
 def test_chunks_are_the_text():
     for text in TEXTS:
         assert "".join(" " + c if type(c) is str else c[0] for c in P.chunks(text)) == text

@@ -1,5 +1,9 @@
 """Helpers shared by the training-data operators."""
 
+import gc
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -23,6 +27,22 @@ def saved(rows: DataFrame, purpose: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+@contextmanager
+def without_cycle_search() -> Iterator[None]:
+    """Python's search for unreachable cycles waits until the end of the block.
+
+    It walks all lists and tables again and again while a block of texts is cut into many small
+    strings, which hold no cycles. What is not referred to any more goes at once all the same.
+    """
+    was_on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was_on:
+            gc.enable()
+
+
 def free_name(wanted: str, taken: list[str]) -> str:
     """``wanted``, or a longer name that no column of ``taken`` has, in any case of letters."""
     lower = {name.lower() for name in taken}

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from watchlake.llm.common import saved
+from watchlake.llm.common import saved, without_cycle_search
 
 CAPACITY = 1024
 END_ID = 2
@@ -30,6 +30,8 @@ _CACHE = 450_000
 _LONGEST_CACHED = 48
 _OTHER_SPACES = [chr(c) for c in range(0x110000) if c not in (10, 32) and chr(c).isspace()]
 _LINE_END = ("\n",)
+# A byte-level vocabulary's sign for a space.
+_SPACE = "\u0120"
 # Signs that the tokenizer never joins with a letter before them.
 _SIGNS = ".,;:!?*#$%&"
 
@@ -51,6 +53,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        vocabulary = self.tokenizer.get_vocab()
+        # Whether a token starts with a space.
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith(_SPACE)]] = True
         # A chunk is named by what follows its space; a text's first one by a tuple.
         self.known: dict[str | tuple[str], bytes] = {}
         self.older: dict[str | tuple[str], bytes] = {}
@@ -63,8 +69,10 @@ class Encoder:
             if ids is not None:
                 known[chunk] = ids
             elif type(chunk) is str and chunk[-1:] in _SIGNS and (word := chunk.rstrip(_SIGNS)) and word[-1].isalpha():
-                split.append((chunk, word, (chunk[len(word) :],)))
-                unseen.update(split[-1][1:])
+                signs = (chunk[len(word) :],)
+                split.append((chunk, word, signs))
+                unseen.add(word)
+                unseen.add(signs)
             else:
                 unseen.add(chunk)
         missing = []
@@ -75,14 +83,20 @@ class Encoder:
                     missing.append(chunk)
                 else:
                     known[chunk] = ids
-        in_line, alone = [], []
+        words, in_line, alone = [], [], []
         for chunk in missing:
             sign = chunk if type(chunk) is str else chunk[0]
-            (in_line if sign and "\n" not in sign and sign.strip() == sign else alone).append(chunk)
-        for i in range(0, len(in_line), 1024):
-            block = in_line[i : i + 1024]
-            if not self._learn_line(block, known):
-                alone += block
+            if not sign or "\n" in sign or sign.strip() != sign:
+                alone.append(chunk)
+            elif sign is chunk and " " not in sign:
+                words.append(chunk)
+            else:
+                in_line.append(chunk)
+        for kept, learn in ((words, self._learn_words), (in_line, self._learn_line)):
+            for i in range(0, len(kept), 1024):
+                block = kept[i : i + 1024]
+                if not learn(block, known):
+                    alone += block
         for i in range(0, len(alone), 1024):
             block = alone[i : i + 1024]
             texts = [c[0] if type(c) is tuple else " " + c for c in block]
@@ -91,6 +105,21 @@ class Encoder:
         for chunk, word, signs in split:
             known[chunk] = known[word] + known[signs]
 
+    def _learn_words(self, block: list[str], known: dict) -> bool:
+        """Chunks after a space encoded as one text, their ids parted by the tokens that start with a space.
+
+        Should these not come out one for each chunk, nothing is kept.
+        """
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(block)], add_special_tokens=False)[0].ids, "<u4")
+        starts = np.flatnonzero(self.spaced[ids])
+        if len(starts) != len(block) or starts[0]:
+            return False
+        packed = ids.tobytes()
+        starts = (4 * starts).tolist()
+        for chunk, start, end in zip(block, starts, [*starts[1:], len(packed)]):
+            known[chunk] = packed[start:end]
+        return True
+
     def _learn_line(self, block: list[str], known: dict) -> bool:
         """Chunks encoded as the lines of one text, whose line ends part their ids.
 
@@ -109,6 +138,10 @@ class Encoder:
         return True
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        with without_cycle_search():
+            return self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > _CACHE:
             self.older, self.known = self.known, {}
         known = self.known
@@ -126,7 +159,6 @@ class Encoder:
                     del known[chunk]
         return list(map(b"".join, found))
 
-
 def chunks(text: str) -> list:
     """A text cut at every single space or line end that stands between two other signs.
 
