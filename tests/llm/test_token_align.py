@@ -1,5 +1,6 @@
 """Alignment against whole-text encoding by the libraries, byte range by byte range."""
 
+import gc
 import hashlib
 import random
 from collections import Counter
@@ -118,3 +119,29 @@ def test_numbers_equal_brute_force(spark, monkeypatch):
 def test_an_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert L.align_tokens(docs, *PATHS).collect() == []
+
+
+def test_units_of_many_texts_are_learned_together():
+    aligner, one_by_one, calls = L.Aligner(*PATHS), L.Aligner(*PATHS), []
+    texts = [None, "", *(f"Wort{i} und   wort{i},\nmot{i % 7}" for i in range(60)), " "]
+    learn = aligner._learn_spans
+    aligner._learn_spans = lambda units: (calls.append(gc.isenabled()), learn(units))[1]
+    got = aligner.align_all(texts)
+    # One text of units that stand alone inside a text, and the others by themselves.
+    assert calls.count(False) == len(calls) < 1 + sum(2 for _ in texts) and gc.isenabled()
+    for text, (*numbers, pairs, links) in zip(texts, got, strict=True):
+        *own, own_pairs, own_links = one_by_one.align(text)
+        assert numbers == own and pairs.tolist() == own_pairs.tolist() and links.tolist() == own_links.tolist()
+
+
+def test_a_unit_that_fails_leaves_the_others_together():
+    aligner, sizes = L.Aligner(*PATHS), []
+    learn = aligner._learn_spans
+    aligner._learn_spans = lambda units: (sizes.append(len(units)), learn(units))[1]
+    # Stands for a unit that the vocabularies part only where it is alone.
+    aligner._learn_spans = lambda units: (sizes.append(len(units)), (len(units) == 1 or " bad" not in units) and learn(units))[1]
+    text = " ".join(["x", "bad", *(f"word{i}" for i in range(500))])
+    expected = L.Aligner(*PATHS).align(text)
+    got = aligner.align(text)
+    assert got[:5] == expected[:5] and got[5].tolist() == expected[5].tolist() and got[6].tolist() == expected[6].tolist()
+    assert len(sizes) < 60

@@ -24,12 +24,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
+from watchlake.llm.common import without_cycle_search
 from watchlake.session import new_work_folder
 
 VOCABULARY_A = "byte_bpe_50k.json"
 VOCABULARY_B = "piece_bpe_32k.model"
 BLOCK_CHARS = 8_000_000
 BLOCK_ROWS = 20_000
+# Texts whose unknown units are learned together.
+_TEXTS = 64
 _CACHE = 900_000
 _LONGEST_CACHED = 48
 _MARK = "▁"
@@ -116,9 +119,15 @@ class Aligner:
         for unit in fresh:
             plain = self.apart and len(unit) > 1 and unit[0] in " \n" and not unit[1].isspace() and not unit[-1].isspace() and _MARK not in unit
             (together if plain else alone).append(unit)
-        for i in range(0, len(together), 1024):
-            block = together[i : i + 1024]
-            if not self._learn_spans([" a", *block]):
+        blocks = [together[i : i + 1024] for i in range(0, len(together), 1024)]
+        while blocks:
+            block = blocks.pop()
+            if self._learn_spans([" a", *block]):
+                continue
+            # One unit is enough to fail a block: the halves without it may pass.
+            if len(block) > 8:
+                blocks += [block[: len(block) // 2], block[len(block) // 2 :]]
+            else:
                 alone += block
         for unit in alone:
             if unit not in self.known and not self._learn_spans([unit]):
@@ -202,20 +211,29 @@ class Aligner:
 
         Null and empty texts, and those whose tokens do not spell them, have none.
         """
+        return self.align_all([text])[0]
+
+    def align_all(self, texts: list[str | None]) -> list[tuple[int, int, int, int, str, np.ndarray, np.ndarray]]:
+        """``align`` of each text; units that none of them has met before are learned together."""
+        with without_cycle_search():
+            if len(self.groups) > _CACHE or self.chars > 20 * _CACHE:
+                self.clear()
+            split = [self.units(text) if text else [] for text in texts]
+            found = [list(map(self.known.get, units)) for units in split]
+            fresh = {u for units, at in zip(split, found) if None in at for u, i in zip(units, at) if i is None}
+            if fresh:
+                self._learn(list(fresh))
+                found = [[self.known[u] for u in units] if None in at else at for units, at in zip(split, found)]
+                for unit in fresh:
+                    if len(unit) > _LONGEST_CACHED:
+                        del self.known[unit]
+            return [self._aligned(at) for at in found]
+
+    def _aligned(self, found: list[int]) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
+        """What ``align`` returns, of a text of these units."""
         nothing = (0, 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int64))
-        if not text:
+        if not found:
             return nothing
-        if len(self.groups) > _CACHE or self.chars > 20 * _CACHE:
-            self.clear()
-        units = self.units(text)
-        found = list(map(self.known.get, units))
-        if None in found:
-            fresh = list({u for u, i in zip(units, found) if i is None})
-            self._learn(fresh)
-            found = [self.known[u] for u in units]
-            for unit in fresh:
-                if len(unit) > _LONGEST_CACHED:
-                    del self.known[unit]
         groups = self.groups
         at, times = np.unique(np.array(found, np.int64), return_counts=True)
         if not np.frombuffer(self.sizes[3], np.int8)[at].all():
@@ -286,9 +304,10 @@ def aligned_blocks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                     n,
                 )
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                *numbers, pairs, links = aligner.align(text)
+        parts = (batch.slice(at, _TEXTS) for batch in batches for at in range(0, batch.num_rows, _TEXTS))
+        for part in parts:
+            texts = part.column(1).to_pylist()
+            for doc_id, text, (*numbers, pairs, links) in zip(part.column(0).to_pylist(), texts, aligner.align_all(texts)):
                 held = None
                 if len(pairs):
                     own = np.empty(len(pairs), np.int64)
