@@ -128,3 +128,12 @@ def test_streams_leave_their_tables_only(spark, tmp_path, query, tables):
     for table in tables:
         assert _codecs(work / table) == {"ZSTD"}
     assert len({r.event_id for r in rows}) == len(rows) > 300
+
+
+def test_the_spool_is_compressed_and_sent_whole(spark, tmp_path):
+    folder, before = _events(spark, tmp_path), _shared(spark)
+    sent = catalog.replay_resend(spark, folder)
+    (work,) = [p for p in _shared(spark) - before if p.name.startswith("resend")]
+    spool = [p for p in (work / "spool").iterdir() if p.name.startswith("part-")]
+    assert spool and {p.suffix for p in spool} == {".gz"}
+    assert spark.read.text(str(work / "spool")).count() == sent.count() == catalog._bronze(spark, folder).count()

@@ -546,12 +546,16 @@ def publish_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return parsed.select("json.*", "event_key", F.array_join("violations", ";").alias("violations"))
 
 
+# Lines of a spool hold each document twice, as text and nested.
+_SPOOL_FORM = "gzip"
+
+
 @_in_bounded_tasks
 def replay(spark: SparkSession, folder: str) -> DataFrame:
     """All broker messages spooled as JSON lines, then replayed as a stream."""
     work = new_work_folder(spark, "replay")
     spool = _spooled(spark, folder)
-    envelopes.spool_lines(spool).write.text(f"{work}/spool")
+    envelopes.spool_lines(spool).write.text(f"{work}/spool", compression=_SPOOL_FORM)
     jobs.start_replay(
         jobs.stream_spool(spark, f"{work}/spool"), f"{work}/replayed", f"{work}/checkpoint"
     ).awaitTermination()
@@ -576,7 +580,7 @@ def replay_resend(spark: SparkSession, folder: str) -> DataFrame:
     It goes down at the second round. What is left by then is a backlog, of which a write takes many rounds.
     """
     work = new_work_folder(spark, "resend")
-    envelopes.spool_lines(_spooled(spark, folder)).write.text(f"{work}/spool")
+    envelopes.spool_lines(_spooled(spark, folder)).write.text(f"{work}/spool", compression=_SPOOL_FORM)
     outbox = Outbox(spark, f"{work}/outbox")
     jobs.start_outbox(jobs.stream_spool(spark, f"{work}/spool", None), outbox, f"{work}/checkpoint").awaitTermination()
     down = [True]
